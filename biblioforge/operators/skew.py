@@ -15,11 +15,10 @@ def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS, hot_share
     At most ``1 / hot_share`` keys can qualify, whatever the size of the data, so the
     result can be broadcast. Counting combines map-side.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows)
-    found = counts.collect() if hot_rows * hot_share >= 1 else None
-    if found is None:
-        total = df.count()
-        found = counts.where(F.col("__n") > total * hot_share).collect()
+    big = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows)
+    if big.isEmpty():
+        return None
+    found = big.where(F.col("__n") > df.count() * hot_share).select(*keys).collect()
     if not found:
         return None
     return df.sparkSession.createDataFrame([tuple(r[k] for k in keys) for r in found], df.select(*keys).schema)
