@@ -24,13 +24,16 @@ def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS, hot_share
     return df.sparkSession.createDataFrame([tuple(r[k] for k in keys) for r in found], df.select(*keys).schema)
 
 
-def join_unique(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", hot_rows: int = HOT_ROWS) -> DataFrame:
+def join_unique(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", hot_rows: int = HOT_ROWS, most_rows: int | None = None) -> DataFrame:
     """``left`` joined to ``right``, whose ``keys`` are unique, without sending a hot key of ``left`` to one task.
 
     The rows of ``right`` for hot keys (at most ``1 / HOT_SHARE`` rows) are broadcast;
     all other rows join through a shuffle. Without hot keys this is the plain join.
-    ``how`` is ``inner`` or ``left``. NULL keys match nothing.
+    ``how`` is ``inner`` or ``left``. NULL keys match nothing. ``most_rows`` is a bound on
+    the rows of ``left``, if the caller knows one; too few for a hot key save the counting.
     """
+    if most_rows is not None and most_rows <= hot_rows:
+        return left.join(right, keys, how)
     hot = hot_keys(left, keys, hot_rows)
     if hot is None:
         return left.join(right, keys, how)
