@@ -6,8 +6,11 @@ it may set is a checkpoint folder, and only where none is configured.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,8 +29,23 @@ def local_session(app: str = "biblioforge", cores: int | str = "*", shuffle: int
     )
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each application; they need not have it installed."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        _shipped.add(sc.applicationId)
+        folder = tempfile.mkdtemp(prefix="biblioforge-ship-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        package = Path(__file__).resolve().parent
+        sc.addPyFile(shutil.make_archive(f"{folder}/biblioforge", "zip", package.parent, package.name))
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
