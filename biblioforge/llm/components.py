@@ -24,23 +24,34 @@ from biblioforge.operators.skew import join_unique
 from biblioforge.session import cut
 
 #: Rate of the head starts, rounds of growth in a level, and a level no input can reach by chance.
-BETA, HOPS, MAX_LEVELS = 0.45, 3, 400
+BETA, HOPS, MAX_LEVELS = 0.2, 4, 400
 
 
-def _uniform(vertex: Column, seed: int) -> Column:
-    """A number in (0, 1) that depends on the vertex and the seed alone, so that retried tasks repeat it."""
+def _uniform(vertex: Column, seed: str) -> Column:
+    """A number in (0, 1) that depends on the vertex and the seed alone, so that retried tasks repeat it.
+
+    A string as the seed leaves the generated code of all levels the same.
+    """
     return (F.pmod(F.xxhash64(vertex, F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
 
 
-def _grow(edges: DataFrame, seed: int, beta: float, hops: int, rows: int) -> DataFrame:
-    """(v, centre) after ``hops`` rounds. ``edges`` (u, v, step) go both ways, with a step 0 from each vertex to itself."""
+def _graph(pairs: DataFrame) -> DataFrame:
+    """(u, v, step): each link of (a, b) both ways with step 1, and each end to itself with step 0."""
+    ends = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    step = lambda u, v, n: F.struct(F.col(u).alias("u"), F.col(v).alias("v"), F.lit(n).alias("step"))
+    loops = [step("a", "a", 0.0), step("b", "b", 0.0)]
+    return ends.select(F.inline(F.array(step("a", "b", 1.0), step("b", "a", 1.0), *loops))).distinct()
+
+
+def _grow(graph: DataFrame, rows: int, seed: str, beta: float, hops: int) -> DataFrame:
+    """(v, centre) after ``hops`` rounds."""
     start = F.log(_uniform(F.col("u"), seed)) / beta  # minus the head start
-    state = edges.where("step = 0").select("u", F.struct(start.alias("cost"), F.col("u").alias("centre")).alias("best"))
+    state = graph.where("step = 0").select("u", start.alias("cost"), F.col("u").alias("centre"))
     for _ in range(hops):
-        offers = join_unique(edges, state, ["u"], most_rows=rows)
-        offer = F.struct((F.col("best.cost") + F.col("step")).alias("cost"), F.col("best.centre").alias("centre"))
-        state = offers.groupBy(F.col("v").alias("u")).agg(F.min(offer).alias("best"))
-    return state.select(F.col("u").alias("v"), F.col("best.centre").alias("centre"))
+        offers = join_unique(graph, state, ["u"], most_rows=rows)
+        offers = offers.select("v", (F.col("cost") + F.col("step")).alias("cost"), "centre")
+        state = offers.groupBy(F.col("v").alias("u")).agg(F.min("cost").alias("cost"), F.min_by("centre", "cost").alias("centre"))
+    return state.select(F.col("u").alias("v"), "centre")
 
 
 def connected_components(pairs: DataFrame, a: str, b: str, *, beta: float = BETA, hops: int = HOPS, seed: int = 11) -> DataFrame:
@@ -49,31 +60,24 @@ def connected_components(pairs: DataFrame, a: str, b: str, *, beta: float = BETA
     A component of any size costs no task more than its share: joins go through
     ``join_unique``, and minima are combined before they are shuffled.
     """
-    link = pairs.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    link = link.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    links = cut(link)
-    levels: list[DataFrame] = []
-    sizes: list[int] = []
-    while size := links.count():
-        sizes.append(size)
+    graph = cut(_graph(pairs.select(F.col(a).alias("a"), F.col(b).alias("b"))))
+    levels: list[tuple[DataFrame, int]] = []
+    while rows := graph.count():
         if len(levels) == MAX_LEVELS:
             raise RuntimeError("the decomposition does not end")
-        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        edges = both.withColumn("step", F.lit(1.0)).unionByName(
-            both.select("u").distinct().select("u", F.col("u").alias("v"), F.lit(0.0).alias("step"))
-        )
-        assigned = cut(_grow(edges, seed + len(levels), beta, hops, 4 * size))
-        levels.append(assigned)
-        left = assigned.select(F.col("v").alias("u"), F.col("centre").alias("cu"))
-        right = assigned.select("v", F.col("centre").alias("cv"))
-        between = join_unique(join_unique(links, left, ["u"], most_rows=size), right, ["v"], most_rows=size).where("cu <> cv")
-        links = cut(between.select(F.least("cu", "cv").alias("u"), F.greatest("cu", "cv").alias("v")).distinct())
+        assigned = cut(_grow(graph, rows, f"{seed}.{len(levels)}", beta, hops))
+        levels.append((assigned, rows))
+        links = graph.where("step = 1 and u < v").select("u", "v")
+        left = assigned.select(F.col("v").alias("u"), F.col("centre").alias("a"))
+        right = assigned.select("v", F.col("centre").alias("b"))
+        between = join_unique(join_unique(links, left, ["u"], most_rows=rows), right, ["v"], most_rows=rows)
+        graph = cut(_graph(between))
     if not levels:
-        return link.select(F.col("u").alias("vertex"), F.col("v").alias("root"))
-    composed = levels[-1]
-    for lower, size in zip(reversed(levels[:-1]), reversed(sizes[:-1])):
+        return graph.select(F.col("u").alias("vertex"), F.col("v").alias("root"))
+    composed = levels[-1][0]
+    for lower, rows in reversed(levels[:-1]):
         upper = composed.select(F.col("v").alias("centre"), F.col("centre").alias("top"))
-        composed = join_unique(lower, upper, ["centre"], "left", most_rows=2 * size).select("v", F.coalesce("top", "centre").alias("centre"))
+        composed = join_unique(lower, upper, ["centre"], "left", most_rows=rows).select("v", F.coalesce("top", "centre").alias("centre"))
     composed = cut(composed)
     names = composed.groupBy("centre").agg(F.min("v").alias("root"))
-    return join_unique(composed, names, ["centre"], most_rows=2 * sizes[0]).select(F.col("v").alias("vertex"), "root")
+    return join_unique(composed, names, ["centre"], most_rows=levels[0][1]).select(F.col("v").alias("vertex"), "root")
