@@ -25,7 +25,7 @@ LEXICON = {
     "national": "natl nat'l nat", "natural": "", "neuroscience": "neurosci", "pesquisa": "", "plant": "", "programme": "program prog progr",
     "rare": "", "recherche": "", "research": "res rsrch resrch", "safety": "saf", "science": "sciences sci", "school": "",
     "secondary": "", "society": "soc", "soil": "", "technology": "tech technol technical", "trust": "tr",
-    "universidad": "", "universitat": "", "universite": "", "university": "univ u", "veterinary": "vet", "water": "wat",
+    "universitat": "", "universite": "", "university": "univ u universidad", "veterinary": "vet", "water": "wat",
     "alexander": "alex sandy", "benedikt": "ben", "frederick": "fred", "isabella": "bella", "josephine": "josie jo",
     "katharina": "kathy kate", "leopold": "leo", "margareta": "greta maggie", "nathaniel": "", "theodora": "dora",
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("queries_groups", "queries_names", "queries_tokens")
+_MODULES = ("queries_groups", "queries_names", "queries_encoding", "queries_places", "queries_tokens")
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
