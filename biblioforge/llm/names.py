@@ -55,9 +55,42 @@ class Name(NamedTuple):
 
 def fold(text: str) -> str:
     """Lower case without accents."""
+    if text.isascii():
+        return text.lower()
     return "".join(c for c in unicodedata.normalize("NFKD", text).lower() if not unicodedata.combining(c))
 
 
+class Pattern:
+    """A string to compare with many others: the Levenshtein distance in bit vectors, a column at a time."""
+
+    def __init__(self, text: str) -> None:
+        self.n, self.at = len(text), {}
+        for i, c in enumerate(text):
+            self.at[c] = self.at.get(c, 0) | (1 << i)
+
+    def distance(self, other: str) -> int:
+        """Insertions, deletions and substitutions between the two strings."""
+        n = self.n
+        if not n:
+            return len(other)
+        every, top, at = (1 << n) - 1, 1 << (n - 1), self.at
+        up, down, d = every, 0, n
+        for c in other:
+            eq = at.get(c, 0)
+            x = eq | down
+            flat = ((((eq & up) + up) ^ up) | eq) & every
+            right_up = (down | ~(flat | up)) & every
+            right_down = up & flat
+            if right_up & top:
+                d += 1
+            elif right_down & top:
+                d -= 1
+            right_up = ((right_up << 1) | 1) & every
+            up = ((right_down << 1) | ~(x | right_up)) & every
+            down = right_up & x
+        return d
+
+
 def edits(a: str, b: str, most: int) -> int:
     """Insertions, deletions, substitutions and swaps of neighbours between two words, or ``most + 1`` if more."""
     if abs(len(a) - len(b)) > most:
@@ -88,7 +121,14 @@ def lexicon_word(token: str, stopped: bool) -> str | None:
     if len(token) < 4:
         return None
     most = 1 if len(token) < 7 else 2
-    near = sorted((d, w) for w in _FUZZY if (d := edits(token, w, 1 if len(w) < 6 else most)) <= (1 if len(w) < 6 else most))
+    pattern, near = Pattern(token), []
+    for w in _FUZZY:
+        limit = 1 if len(w) < 6 else most
+        if abs(len(w) - len(token)) <= limit and pattern.distance(w) <= 2 * limit and (d := edits(token, w, limit)) <= limit:
+            near.append((d, w))
+    if not near:
+        return None
+    near.sort()
     # Of forms at one distance, one must do: several forms of one word agree, different words do not.
     best = {_EXACT[w] for d, w in near if d == near[0][0]}
     return best.pop() if len(best) == 1 else None
@@ -148,7 +188,8 @@ def _nearest(token: str) -> tuple[float, str]:
     if len(token) <= 4:
         near = [(edits(token, w, 1) / 4, word) for w, word in _EXACT.items() if len(w) >= 3 and edits(token, w, 1) <= 1]
         return min(near, default=(0.3, ""))
-    near = [(d / len(token), _EXACT[w]) for w in _FUZZY if (d := edits(token, w, 4)) <= 4]
+    pattern = Pattern(token)
+    near = [(d / len(token), _EXACT[w]) for w in _FUZZY if abs(len(w) - len(token)) <= 4 and pattern.distance(w) <= 8 and (d := edits(token, w, 4)) <= 4]
     return min(near, default=(1.0, ""))
 
 
