@@ -35,6 +35,7 @@ GIVEN = frozenset("alexander benedikt frederick isabella josephine katharina leo
 
 _EXACT = {form: word for word, forms in LEXICON.items() for form in (word, *forms.split())}
 _FUZZY = sorted({w for w in _EXACT if len(w) >= 4})
+_BY_LENGTH = {n: [w for w in _FUZZY if abs(len(w) - n) <= 2] for n in range(4, 17)}
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*\.?|&|\+|\(|\)|,")
 
 
@@ -122,7 +123,7 @@ def lexicon_word(token: str, stopped: bool) -> str | None:
         return None
     most = 1 if len(token) < 7 else 2
     pattern, near = Pattern(token), []
-    for w in _FUZZY:
+    for w in _BY_LENGTH.get(len(token), ()):
         limit = 1 if len(w) < 6 else most
         if abs(len(w) - len(token)) <= limit and pattern.distance(w) <= 2 * limit and (d := edits(token, w, limit)) <= limit:
             near.append((d, w))

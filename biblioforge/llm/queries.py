@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("queries_groups", "queries_names", "queries_encoding", "queries_places", "queries_tokens", "queries_truncation")
+_MODULES = ("queries_groups", "queries_names", "queries_matching", "queries_encoding", "queries_places", "queries_tokens", "queries_truncation")
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
