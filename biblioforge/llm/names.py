@@ -35,7 +35,6 @@ GIVEN = frozenset("alexander benedikt frederick isabella josephine katharina leo
 
 _EXACT = {form: word for word, forms in LEXICON.items() for form in (word, *forms.split())}
 _FUZZY = sorted({w for w in _EXACT if len(w) >= 4})
-_BY_LENGTH = {n: [w for w in _FUZZY if abs(len(w) - n) <= 2] for n in range(4, 17)}
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*\.?|&|\+|\(|\)|,")
 
 
@@ -109,6 +108,16 @@ def edits(a: str, b: str, most: int) -> int:
     return min(row[-1], most + 1)
 
 
+@lru_cache(maxsize=1)
+def _left() -> dict[str, list[str]]:
+    """Lexicon forms by what is left of them without up to two letters."""
+    left: dict[str, list[str]] = {}
+    for w in _FUZZY:
+        for x in deletions(w, 2):
+            left.setdefault(x, []).append(w)
+    return left
+
+
 @lru_cache(maxsize=200_000)
 def lexicon_word(token: str, stopped: bool) -> str | None:
     """The lexicon word that a folded token stands for; ``stopped``: a full stop follows."""
@@ -122,10 +131,10 @@ def lexicon_word(token: str, stopped: bool) -> str | None:
     if len(token) < 4:
         return None
     most = 1 if len(token) < 7 else 2
-    pattern, near = Pattern(token), []
-    for w in _BY_LENGTH.get(len(token), ()):
+    near = []
+    for w in set().union(*(_left().get(x, ()) for x in deletions(token, most))):
         limit = 1 if len(w) < 6 else most
-        if abs(len(w) - len(token)) <= limit and pattern.distance(w) <= 2 * limit and (d := edits(token, w, limit)) <= limit:
+        if (d := edits(token, w, limit)) <= limit:
             near.append((d, w))
     if not near:
         return None
