@@ -75,7 +75,7 @@ def p4_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     confidence = (F.lit(1.0) / (1 + F.exp(-odds)) + F.col("agrees")) / 2
     found = scored.where(F.col("agrees") >= LEAST).select("l", "r", confidence.alias("confidence"))
     names = records.select("rid", "source", "key")
-    found = found.join(names.select(F.col("rid").alias("l"), F.col("key").cast("bigint").alias("resource_num")), "l")
+    found = found.join(names.where("source = 'inventory'").select(F.col("rid").alias("l"), F.col("key").try_cast("bigint").alias("resource_num")), "l")
     found = found.join(names.select(F.col("rid").alias("r"), F.col("source").alias("registry"), F.col("key").alias("registry_id")), "r")
     return found.select("resource_num", "registry", "registry_id", "confidence")
 
