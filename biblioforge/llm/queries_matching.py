@@ -73,7 +73,10 @@ def p4_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     (whole, key), constant = m.calibrate(scored)
     odds = F.lit(float(whole)) * F.col("whole") + F.lit(float(key)) * F.col("key") + F.lit(constant)
     confidence = (F.lit(1.0) / (1 + F.exp(-odds)) + F.col("agrees")) / 2
-    found = scored.where(F.col("agrees") >= LEAST).select("l", "r", confidence.alias("confidence"))
+    found = scored.where(F.col("agrees") >= LEAST).select("l", "r", "agrees", confidence.alias("confidence"))
+    # A registry record describes one resource: of the inventory records it could be, the most likely one.
+    best = found.groupBy("r").agg(F.max(F.struct("agrees", "confidence", "l")).alias("b"))
+    found = best.select("r", F.col("b.l").alias("l"), F.col("b.confidence").alias("confidence"))
     names = records.select("rid", "source", "key")
     found = found.join(names.where("source = 'inventory'").select(F.col("rid").alias("l"), F.col("key").try_cast("bigint").alias("resource_num")), "l")
     found = found.join(names.select(F.col("rid").alias("r"), F.col("source").alias("registry"), F.col("key").alias("registry_id")), "r")
