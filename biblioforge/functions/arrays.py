@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def split_list(cell: Column, separator: str = ", ") -> Column:
     """A delimited cell as an array; a blank cell is one blank value, NULL counts as blank."""
     return F.split(F.coalesce(cell, F.lit("")), f"\\Q{separator}\\E", -1)
@@ -14,17 +21,24 @@ def split_list(cell: Column, separator: str = ", ") -> Column:
 def scored_names(names: Column, probs: Column) -> Column:
     """Arrays of names and scores as array<struct<name, prob>>: the shorter array counts, one-letter names are blank,
     blank names have score 0, a repeated name stands at its first place with its last score."""
-    n = F.least(F.size(names), F.size(probs))
     name = lambda x: F.when(F.length(x) == 1, F.lit("")).otherwise(x)
-    pairs = F.zip_with(F.slice(names, 1, n), F.slice(probs, 1, n), lambda a, p: F.struct(
-        name(a).alias("name"), F.when(name(a) == "", F.lit(0.0)).otherwise(F.coalesce(p.try_cast("double"), F.lit(0.0))).alias("prob")))
-    return last_wins(pairs)
+    score = lambda p: F.coalesce(p.try_cast("double"), F.lit(0.0))
+    pair = lambda a, p: F.struct(name(a).alias("name"), F.when(F.length(a) <= 1, F.lit(0.0)).otherwise(score(p)).alias("prob"))
+
+    def zipped(both: Column) -> Column:
+        n = F.least(F.size(both["a"]), F.size(both["p"]))
+        return F.zip_with(F.slice(both["a"], 1, n), F.slice(both["p"], 1, n), pair)
+
+    return last_wins(let(F.struct(names.alias("a"), probs.alias("p")), zipped))
 
 
 def last_wins(pairs: Column) -> Column:
     """array<struct<name, prob>> with each name once, at its first place, with its last score."""
-    names = F.array_distinct(F.transform(pairs, lambda p: p["name"]))
-    return F.transform(names, lambda n: F.element_at(F.filter(pairs, lambda p: p["name"] == n), -1))
+    def chosen(all_pairs: Column) -> Column:
+        names = F.array_distinct(F.transform(all_pairs, lambda p: p["name"]))
+        return F.transform(names, lambda n: F.element_at(F.filter(all_pairs, lambda p: p["name"] == n), -1))
+
+    return let(pairs, chosen)
 
 
 def best_scored(pairs: Column) -> Column:
@@ -39,14 +53,20 @@ def select_names(common: Column, common_prob: Column, full: Column, full_prob: C
     All scores are looked up in full names followed by common ones, so a shared name has its
     common score, and of equal scores the full name wins.
     """
-    commons, fulls = scored_names(split_list(common), split_list(common_prob)), scored_names(split_list(full), split_list(full_prob))
-    both = last_wins(F.concat(fulls, commons))
+    lists = F.struct(scored_names(split_list(common), split_list(common_prob)).alias("c"), scored_names(split_list(full), split_list(full_prob)).alias("f"))
+
+    def with_both(x: Column) -> Column:
+        return let(F.struct(x["c"].alias("c"), x["f"].alias("f"), last_wins(F.concat(x["f"], x["c"])).alias("all")), chosen)
+
+    def chosen(x: Column) -> Column:
+        def with_score(name: Column, label: str) -> list[Column]:
+            score = F.element_at(F.filter(x["all"], lambda p: p["name"] == name), 1)["prob"]
+            return [name.alias(label), score.alias(f"{label}_prob")]
 
-    def with_score(name: Column, label: str) -> list[Column]:
-        score = F.element_at(F.filter(both, lambda p: p["name"] == name), 1)["prob"]
-        return [name.alias(label), score.alias(f"{label}_prob")]
+        kinds = (("best_common", "c"), ("best_full", "f"), ("best_name", "all"))
+        return F.struct(*[c for label, part in kinds for c in with_score(best_scored(x[part]), label)])
 
-    return F.struct(*with_score(best_scored(commons), "best_common"), *with_score(best_scored(fulls), "best_full"), *with_score(best_scored(both), "best_name"))
+    return let(lists, with_both)
 
 
 def sentence_list(text: Column) -> Column:
