@@ -60,6 +60,10 @@ def fold(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text).lower() if not unicodedata.combining(c))
 
 
+#: A distance beyond any that is asked for.
+FAR = 1 << 40
+
+
 class Pattern:
     """A string to compare with many others: the Levenshtein distance in bit vectors, a column at a time."""
 
@@ -68,9 +72,9 @@ class Pattern:
         for i, c in enumerate(text):
             self.at[c] = self.at.get(c, 0) | (1 << i)
 
-    def distance(self, other: str) -> int:
-        """Insertions, deletions and substitutions between the two strings."""
-        n = self.n
+    def distance(self, other: str, most: int = FAR) -> int:
+        """Insertions, deletions and substitutions between the two strings; ``FAR`` as soon as they are sure to exceed ``most``."""
+        n, left = self.n, len(other) + most
         if not n:
             return len(other)
         every, top, at = (1 << n) - 1, 1 << (n - 1), self.at
@@ -85,6 +89,9 @@ class Pattern:
                 d += 1
             elif right_down & top:
                 d -= 1
+            left -= 1
+            if d > left:
+                return FAR
             right_up = ((right_up << 1) | 1) & every
             up = ((right_down << 1) | ~(x | right_up)) & every
             down = right_up & x
