@@ -100,19 +100,42 @@ class Pattern:
 
 def edits(a: str, b: str, most: int) -> int:
     """Insertions, deletions, substitutions and swaps of neighbours between two words, or ``most + 1`` if more."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    before, row = [], list(range(len(b) + 1))
+    if a == b:
+        return 0
+    n, far = len(b), most + 1
+    if abs(len(a) - n) > most:
+        return far
+    before, row = [far] * (n + 1), [min(j, far) for j in range(n + 1)]
     for i, x in enumerate(a, 1):
-        last, before, row = before, row, [i]
-        for j, y in enumerate(b, 1):
-            d = min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+        lo, hi = max(1, i - most), min(n, i + most)  # farther from the diagonal there are more edits than asked for
+        last, before, row = before, row, [far] * (n + 1) if n < 64 else _Sparse(far)
+        if i <= most:
+            row[0] = i
+        least = row[0]
+        for j in range(lo, hi + 1):
+            d = min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (x != b[j - 1]))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == b[j - 1]:
                 d = min(d, last[j - 2] + 1)
-            row.append(d)
-        if min(row) > most:
-            return most + 1
-    return min(row[-1], most + 1)
+            row[j] = d
+            least = min(least, d)
+        if least > most:
+            return far
+    return min(row[n], far)
+
+
+class _Sparse(dict):
+    """A row of a long comparison, with ``far`` wherever nothing was computed."""
+
+    def __init__(self, far: int) -> None:
+        super().__init__()
+        self.far = far
+
+    def __missing__(self, key: int) -> int:
+        return self.far
+
+
+#: No lexicon form is as long as this, even mistyped.
+LONGEST = 20
 
 
 @lru_cache(maxsize=1)
@@ -135,7 +158,7 @@ def lexicon_word(token: str, stopped: bool) -> str | None:
         longer = {w for w in LEXICON if w.startswith(token)}
         if len(longer) == 1:
             return longer.pop()
-    if len(token) < 4:
+    if not 4 <= len(token) <= LONGEST:
         return None
     most = 1 if len(token) < 7 else 2
     near = []
