@@ -12,7 +12,7 @@ from biblioforge.operators.relational import require_columns
 ANSWERS = {
     "low_prob": ("review_low_prob", ("do not remove", "remove")),
     "duplicate_urls": ("review_dup_urls", ("do not merge", "merge on record with best name prob", "conflicting record(s) to be removed")),
-    "duplicate_names": ("review_dup_names", ("do not merge", "merge all dup names", "merge only:", "conflicting record(s) to be removed")),
+    "duplicate_names": ("review_dup_names", ("do not merge", 'merge all "dup name" IDs', "merge only:", "conflicting record(s) to be removed")),
 }
 LOW_PROB = "low_prob_best_name"
 

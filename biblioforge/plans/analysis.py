@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from biblioforge.functions import text
+from biblioforge.functions import arrays, text
 from biblioforge.operators import measures, merge, relational
 from biblioforge.operators.packed import split_packed
 from biblioforge.session import load
@@ -200,10 +200,39 @@ def resources_per_article(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n_articles"), F.coalesce(F.sum("num_citations"), F.lit(0)).alias("citations"))
 
 
+def named_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first prediction of each article that has a name of either kind, with the kinds it has."""
+    rows = load(spark, sf_dir, "predictions").select("id", "prediction_id", F.coalesce("common_name", F.lit("")).alias("c"), F.coalesce("full_name", F.lit("")).alias("f"))
+    first = relational.keep_first(rows.where("not (c = '' and f = '')"), ["id"], [F.col("prediction_id")])
+    return first.select("id", "prediction_id", F.when(F.col("c") == "", "full").when(F.col("f") == "", "common").otherwise("both").alias("kinds"))
+
+
+def answering_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Different addresses of each status class."""
+    rows = relational.drop_blank(load(spark, sf_dir, "url_status"), "url").where(F.col("status").rlike("^[2-5]"))
+    return rows.groupBy(F.concat(F.substring("status", 1, 1), F.lit("xx")).alias("status_class")).agg(F.countDistinct("url").alias("n_urls"))
+
+
+def funders_by_country(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Curated agencies of every listed country, also of those without any."""
+    agencies = load(spark, sf_dir, "curated_funders").select("agency_id", "country_3")
+    countries = F.broadcast(load(spark, sf_dir, "ref_countries").select("country_3", "country_name"))
+    counts = agencies.groupBy("country_3").agg(F.count(F.lit(1)).alias("n"))
+    return countries.join(counts, "country_3", "left").select("country_3", F.initcap("country_name").alias("country_name"), F.coalesce("n", F.lit(0)).alias("n_agencies"))
+
+
+def sentence_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each sentence of each document with their places, one row for a sentence."""
+    rows = load(spark, sf_dir, "documents").where(F.col("text").rlike(r"\S"))
+    split = rows.select("doc_id", F.posexplode(arrays.sentence_list(F.col("text"))).alias("sent_idx", "sentence"))
+    words = arrays.word_list(F.col("sentence"))
+    return split.select("doc_id", "sent_idx", F.transform(words, lambda w, i: i).alias("word_idx"), words.alias("words"))
+
+
 QUERIES = {f.__name__: f for f in (
     country_mentions, mentions_per_country, hosts_by_country, coordinates, status_kinds, status_shares, funder_summary, funded_articles, country_rollup, venn_counts,
     registry_overlap, life_repositories, split_articles, chunked_articles, prediction_quality, entity_quality, best_epochs, best_model, metrics_by_dataset, us_dates,
-    event_properties, resources_per_article)}
+    event_properties, resources_per_article, named_predictions, answering_hosts, funders_by_country, sentence_tokens)}
 
 _PADDED = "' ' || replace(trim(regexp_replace({0}, '[^\\p{{L}}]+', ' ', 'g')), ' ', '  ') || ' '"
 _MENTIONS = f"""
@@ -274,6 +303,13 @@ SELECT tp, fp, fn, 0.0::DOUBLE AS loss, tp / (tp + fp) AS precision, tp / (tp +
     "best_model": _STATS + " SELECT model, epoch, val_f1, val_loss FROM best ORDER BY val_f1 DESC, val_loss LIMIT 1",
     "metrics_by_dataset": _STATS + " SELECT model, epoch, 'train' AS dataset, train_f1 AS f1, train_loss AS loss FROM stats UNION ALL SELECT model, epoch, 'val', val_f1, val_loss FROM stats",
     "us_dates": "SELECT DISTINCT id, publication_date FROM articles WHERE regexp_matches(publication_date, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$')",
+    "named_predictions": """
+SELECT id, prediction_id, CASE WHEN coalesce(common_name, '') = '' THEN 'full' WHEN coalesce(full_name, '') = '' THEN 'common' ELSE 'both' END AS kinds
+FROM predictions WHERE coalesce(common_name, '') <> '' OR coalesce(full_name, '') <> '' QUALIFY row_number() OVER (PARTITION BY id ORDER BY prediction_id) = 1""",
+    "answering_hosts": "SELECT left(status, 1) || 'xx' AS status_class, count(DISTINCT url) AS n_urls FROM url_status WHERE coalesce(url, '') <> '' AND regexp_matches(status, '^[2-5]') GROUP BY 1",
+    "funders_by_country": """
+SELECT r.country_3, array_to_string(list_transform(string_split(lower(country_name), ' '), lambda w: upper(left(w, 1)) || substr(w, 2)), ' ') AS country_name, coalesce(n, 0) AS n_agencies
+FROM ref_countries r LEFT JOIN (SELECT country_3, count(*) AS n FROM curated_funders GROUP BY 1) c ON r.country_3 = c.country_3""",
     "event_properties": "SELECT event_type, count(k) AS n, sum(k)::BIGINT AS total, max(k) AS largest FROM (SELECT event_type, (props->>'k')::INT AS k FROM events) GROUP BY 1",
     "resources_per_article": """
 WITH held AS (SELECT id, min(resource_num) AS resource_num FROM (SELECT unnest(regexp_extract_all(id, '\\d+')) AS id, resource_num FROM review_records) GROUP BY 1),

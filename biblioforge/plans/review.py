@@ -28,7 +28,7 @@ def _answered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({
         "review_low_prob": F.when(~flagged("low_prob"), "").when(turn == 0, "remove").when(turn == 1, "").otherwise("do not remove"),
         "review_dup_urls": F.when(~flagged("duplicate_urls"), "").when(turn < 3, "merge on record with best name prob").when(turn == 3, "do not merge").otherwise("maybe"),
-        "review_dup_names": F.when(~flagged("duplicate_names"), "").when(turn < 2, "do not merge").otherwise("merge all dup names"),
+        "review_dup_names": F.when(~flagged("duplicate_names"), "").when(turn < 2, "do not merge").otherwise('merge all "dup name" IDs'),
     })
 
 
@@ -132,7 +132,7 @@ _ANSWERED = _R + """, answered AS (
   SELECT *, CASE WHEN coalesce(low_prob, '') = '' THEN '' WHEN resource_num % 5 = 0 THEN 'remove' WHEN resource_num % 5 = 1 THEN '' ELSE 'do not remove' END AS review_low_prob,
          CASE WHEN coalesce(duplicate_urls, '') = '' THEN '' WHEN resource_num % 5 < 3 THEN 'merge on record with best name prob'
               WHEN resource_num % 5 = 3 THEN 'do not merge' ELSE 'maybe' END AS review_dup_urls,
-         CASE WHEN coalesce(duplicate_names, '') = '' THEN '' WHEN resource_num % 5 < 2 THEN 'do not merge' ELSE 'merge all dup names' END AS review_dup_names
+         CASE WHEN coalesce(duplicate_names, '') = '' THEN '' WHEN resource_num % 5 < 2 THEN 'do not merge' ELSE 'merge all "dup name" IDs' END AS review_dup_names
   FROM rec
 ), left_over AS (SELECT * FROM answered WHERE review_low_prob <> 'remove')"""
 
