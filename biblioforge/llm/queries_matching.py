@@ -30,7 +30,7 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tokens(records: DataFrame) -> DataFrame:
-    """(rid, source, tokens, keys) of the records with any token."""
+    """(rid, source, tokens, keys) and the tokens of exact blocks, of the records with any token."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -40,10 +40,10 @@ def _tokens(records: DataFrame) -> DataFrame:
                 keys = r.keys
                 tokens = sorted(keys | r.words | r.shorts)
                 if tokens:
-                    rows.append((rid, source, tokens, sorted(keys)))
-            yield pd.DataFrame(rows, columns=["rid", "source", "tokens", "keys"])
+                    rows.append((rid, source, tokens, sorted(keys), *m.exact_fields(r)))
+            yield pd.DataFrame(rows, columns=["rid", "source", "tokens", "keys", *(c.split()[0] for c in m.EXACT.split(", "))])
 
-    return cut(records.mapInPandas(read, "rid long, source string, tokens array<string>, keys array<string>"))
+    return cut(records.mapInPandas(read, f"rid long, source string, tokens array<string>, keys array<string>, {m.EXACT}"))
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -60,7 +60,9 @@ def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         (F.col("n_first") == 0) & (F.col("n") > max(ALIEN_RECORDS, ALIEN_SHARE * total))).select("token").collect())
     blocks, vectors = m.hashed(tokens, table, weights.select("token", "n"), total)
     sided = blocks.join(tokens.select("rid", (F.col("source") == "inventory").alias("first")), "rid")
-    pairs = m.candidates(sided.where("first"), sided.where("not first"))
+    exact = m.exact_blocks(tokens.where("source = 'inventory'"), tokens.where("source <> 'inventory'"))
+    hashed = [sided.where(side).select("rid", "kind", "code", "more") for side in ("first", "not first")]
+    pairs = m.candidates(hashed[0], hashed[1]).unionByName(m.meetings(*exact)).distinct()
     side = records.join(vectors, "rid")
     full = pairs.join(side.select(F.col("rid").alias("l"), F.col("vector").alias("lv"), F.col("names").alias("ln"), F.col("urls").alias("lu")), "l")
     full = full.join(side.select(F.col("rid").alias("r"), F.col("vector").alias("rv"), F.col("names").alias("rn"), F.col("urls").alias("ru")), "r")
