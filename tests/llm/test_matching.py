@@ -29,3 +29,11 @@ def test_slips_meet(spark):
     met, true = _met(spark, left, right)
     assert {(0, 0), (1, 1), (3, 3), (4, 4)} <= true <= met
     assert not any(j == 5 for _, j in met)
+
+
+def test_frequent_tokens_meet(spark):
+    full = "Plant biomarker regulation Portal"
+    left = [(("PBRdb", "", full), f"https://x.example/{i}a" if i else "") for i in range(25)] + [(("", "", full), f"https://coinedhost{i}.example") for i in range(25)]
+    right = [((f"{full} (PBRdb)",), "" if i % 2 else f"https://moved{i}place.example") for i in range(25)] + [(("Plant biomarkers regulation Portals",), "")] * 25
+    met, true = _met(spark, left, right)
+    assert len(true) > 1000 and true <= met
