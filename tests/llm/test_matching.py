@@ -37,3 +37,12 @@ def test_frequent_tokens_meet(spark):
     right = [((f"{full} (PBRdb)",), "" if i % 2 else f"https://moved{i}place.example") for i in range(25)] + [(("Plant biomarkers regulation Portals",), "")] * 25
     met, true = _met(spark, left, right)
     assert len(true) > 1000 and true <= met
+
+
+def test_low_cosine_is_compared(spark):
+    """Pairs that met are compared by attributes however far apart the records are as a whole."""
+    one, two = [1.0] + [0.0] * (m.DIM - 1), [0.0] * (m.DIM - 1) + [1.0]
+    rows = [(1, 2, one, two, ["NigloglalulKB"], "https://abc.example/morenames", ["NigloglalluKB"], "")]
+    names = "l long, r long, lv array<float>, rv array<float>, ln array<string>, lu string, rn array<string>, ru string"
+    found = m.compare(spark.createDataFrame(rows, names), m.start_table(), frozenset()).collect()
+    assert found[0]["whole"] == 0.0 and found[0]["agrees"] >= 0.5 and found[0]["key"] > 0.2
