@@ -61,8 +61,8 @@ def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     blocks, vectors = m.hashed(tokens, table, weights.select("token", "n"), total)
     sided = blocks.join(tokens.select("rid", (F.col("source") == "inventory").alias("first")), "rid")
     exact = m.exact_blocks(tokens.where("source = 'inventory'"), tokens.where("source <> 'inventory'"))
-    hashed = [sided.where(side).select("rid", "kind", "code", "more") for side in ("first", "not first")]
-    pairs = m.candidates(hashed[0], hashed[1]).unionByName(m.meetings(*exact)).distinct()
+    both = [sided.where(side).select("rid", "kind", "code").unionByName(known) for side, known in zip(("first", "not first"), exact)]
+    pairs = m.meetings(*both).distinct()
     side = records.join(vectors, "rid")
     full = pairs.join(side.select(F.col("rid").alias("l"), F.col("vector").alias("lv"), F.col("names").alias("ln"), F.col("urls").alias("lu")), "l")
     full = full.join(side.select(F.col("rid").alias("r"), F.col("vector").alias("rv"), F.col("names").alias("rn"), F.col("urls").alias("ru")), "r")

@@ -46,3 +46,11 @@ def test_low_cosine_is_compared(spark):
     names = "l long, r long, lv array<float>, rv array<float>, ln array<string>, lu string, rn array<string>, ru string"
     found = m.compare(spark.createDataFrame(rows, names), m.start_table(), frozenset()).collect()
     assert found[0]["whole"] == 0.0 and found[0]["agrees"] >= 0.5 and found[0]["key"] > 0.2
+
+
+def test_large_blocks_stay_whole(spark):
+    n = 3 * m.PIECE + 7
+    side = lambda lo, count: spark.range(lo, lo + count).selectExpr("id as rid", "0 as kind", "cast(5 as long) as code", "cast(id % 7 as int) as more")
+    met = m.meetings(side(0, n), side(10_000, 90))
+    assert met.count() == met.distinct().count() == 90 * n
+    assert m.meetings(side(0, n), side(0, 0)).count() == 0
