@@ -69,6 +69,27 @@ def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return records, cut(m.compare(full, table, alien))
 
 
+def without_lookalikes(found: DataFrame, records: DataFrame) -> DataFrame:
+    """``found`` (l, r, agrees, confidence) without the pairs that evidence speaks against.
+
+    A registry record may be several inventory records, of one resource. A pair goes only if
+    another inventory record agrees better with the registry record and its full name or
+    address tells that both inventory records are not one resource; of equals all stay.
+    """
+    best = found.groupBy("r").agg(F.max(F.struct("agrees", "confidence", "l")).alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    best = best.select("r", F.col("b.l").alias("best"), F.col("b.agrees").alias("most"))
+    told = lambda p: records.select(F.col("rid").alias(p), F.col("names").alias(f"{p}_names"), F.col("urls").alias(f"{p}_urls"))
+    weaker = found.join(best, "r").where("agrees < most").join(told("l"), "l").join(told("best"), "best")
+
+    def apart(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of = lambda names, urls: resources.read(tuple(x or "" for x in names), urls or "")
+        for batch in batches:
+            rows = zip(batch["l_names"], batch["l_urls"], batch["best_names"], batch["best_urls"])
+            yield batch[[resources.conflict(of(a, b), of(c, d)) for a, b, c, d in rows]][["l", "r"]]
+
+    return found.join(weaker.mapInPandas(apart, "l long, r long"), ["l", "r"], "left_anti")
+
+
 def p4_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(resource_num, registry, registry_id, confidence) of each pair of records of one resource."""
     records, scored = _scored(spark, sf_dir)
@@ -76,9 +97,7 @@ def p4_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     odds = F.lit(float(whole)) * F.col("whole") + F.lit(float(key)) * F.col("key") + F.lit(constant)
     confidence = (F.lit(1.0) / (1 + F.exp(-odds)) + F.col("agrees")) / 2
     found = scored.where(F.col("agrees") >= LEAST).select("l", "r", "agrees", confidence.alias("confidence"))
-    # A registry record describes one resource: of the inventory records it could be, the most likely one.
-    best = found.groupBy("r").agg(F.max(F.struct("agrees", "confidence", "l")).alias("b"))
-    found = best.select("r", F.col("b.l").alias("l"), F.col("b.confidence").alias("confidence"))
+    found = without_lookalikes(found, records).select("l", "r", "confidence")
     names = records.select("rid", "source", "key")
     found = found.join(names.where("source = 'inventory'").select(F.col("rid").alias("l"), F.col("key").try_cast("bigint").alias("resource_num")), "l")
     found = found.join(names.select(F.col("rid").alias("r"), F.col("source").alias("registry"), F.col("key").alias("registry_id")), "r")

@@ -54,3 +54,16 @@ def test_large_blocks_stay_whole(spark):
     met = m.meetings(side(0, n), side(10_000, 90))
     assert met.count() == met.distinct().count() == 90 * n
     assert m.meetings(side(0, n), side(0, 0)).count() == 0
+
+
+def test_resources_held_twice(spark):
+    from biblioforge.llm.queries_matching import without_lookalikes
+
+    rows = [
+        (1, ["Nukunoko", "", "Coral protein splicing Browser"], "https://nukunoko.example"), (2, ["NukunokoHub"], "https://nukunoko.example"),
+        (3, ["Nukunoko", "", "Porcine toxin imaging Database"], "https://other.example/porcine"), (4, ["Nukunoko"], "https://nukunoko.example"),
+    ]
+    records = spark.createDataFrame(rows, "rid long, names array<string>, urls string")
+    pairs = [(1, 9, 1.0, 0.99), (2, 9, 0.95, 0.9), (3, 9, 0.6, 0.7), (4, 9, 1.0, 0.98), (3, 8, 0.6, 0.7)]
+    found = without_lookalikes(spark.createDataFrame(pairs, "l long, r long, agrees double, confidence double"), records)
+    assert sorted((x["l"], x["r"]) for x in found.collect()) == [(1, 9), (2, 9), (3, 8), (4, 9)]
