@@ -67,3 +67,10 @@ def test_resources_held_twice(spark):
     pairs = [(1, 9, 1.0, 0.99), (2, 9, 0.95, 0.9), (3, 9, 0.6, 0.7), (4, 9, 1.0, 0.98), (3, 8, 0.6, 0.7)]
     found = without_lookalikes(spark.createDataFrame(pairs, "l long, r long, agrees double, confidence double"), records)
     assert sorted((x["l"], x["r"]) for x in found.collect()) == [(1, 9), (2, 9), (3, 8), (4, 9)]
+
+
+def test_acronyms_with_endings():
+    read = lambda name, url="": resources.read((name,), url)
+    assert resources.agreement(read("OHSbase", "https://stakatagol.org.example/"), read("GGSbase"), frozenset()) == 0.0
+    assert resources.agreement(read("GSGbase", "https://stakatagol.org.example/"), read("GGSbase"), frozenset()) > 0
+    assert resources.agreement(read("NukunokoHub"), read("NukunokHub"), frozenset()) >= 0.5
