@@ -145,7 +145,7 @@ def prediction_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def entity_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole-entity quality of tags that miss every word of four letters, on documents' words."""
-    rows = load(spark, sf_dir, "documents").where(F.col("text").rlike(r"\S")).select(F.slice(F.split(F.trim("text"), "\\s+"), 1, 1_000_000).alias("w"))
+    rows = load(spark, sf_dir, "documents").where(F.col("text").rlike(r"\S")).select(F.split(F.trim("text"), "\\s+").alias("w"))
     capital = lambda w: w.rlike("^[A-Z]")
     truth = F.transform("w", lambda w, i: F.when(capital(w) & (i > 0) & capital(F.get(F.col("w"), F.greatest(i - 1, F.lit(0)))), "I-N").when(capital(w), "B-N").otherwise("O"))
     guess = F.transform("truth", lambda t, i: F.when(F.length(F.get(F.col("w"), i)) == 4, "O").otherwise(t))
