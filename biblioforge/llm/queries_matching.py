@@ -2,111 +2,115 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from biblioforge.llm import matching as m
 from biblioforge.llm import resources
+from biblioforge.operators.skew import join_unique
 from biblioforge.session import cut, load
 
-#: The least confidence of a match, and the registry records a word must stand in to tell another kind of body.
-LEAST, ALIEN_RECORDS, ALIEN_SHARE = 0.5, 3, 0.0015
+#: The least confidence of a match, and the share that is added to a word's shares in both sources before they are compared.
+LEAST, KIND_SHARE = 0.5, 1e-3
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(rid, source, key, names, urls): one row for each record of the inventory and the two registries."""
+    """(rid, source, key, first) and the columns of a resource: one row for each record with any name or address."""
     inventory = load(spark, sf_dir, "inventory").select(
         F.lit("inventory").alias("source"), F.col("resource_num").cast("string").alias("key"),
-        F.array("inv_name", "inv_comm_name", "inv_full_name").alias("names"), F.col("inv_url").alias("urls"))
+        F.array("inv_name", "inv_comm_name", "inv_full_name").alias("names"), F.col("inv_url").alias("address"))
     re3data = load(spark, sf_dir, "re3data_repositories").select(
-        F.lit("re3data").alias("source"), F.col("re3data_id").alias("key"), F.array("repositoryname").alias("names"), F.col("repositoryurl").alias("urls"))
+        F.lit("re3data").alias("source"), F.col("re3data_id").alias("key"), F.array("repositoryname").alias("names"), F.col("repositoryurl").alias("address"))
     fairsharing = load(spark, sf_dir, "fairsharing_records").select(
-        F.lit("fairsharing").alias("source"), F.col("fs_id").alias("key"), F.array("fs_name").alias("names"), F.col("fs_url").alias("urls"))
-    both = inventory.unionByName(re3data).unionByName(fairsharing).where("key is not null").dropDuplicates(["source", "key"])
-    return cut(both.withColumn("rid", F.xxhash64("source", "key")))
+        F.lit("fairsharing").alias("source"), F.col("fs_id").alias("key"), F.array("fs_name").alias("names"), F.col("fs_url").alias("address"))
+    every = inventory.unionByName(re3data).unionByName(fairsharing).where("key is not null").dropDuplicates(["source", "key"])
+    return read_records(every)
 
 
-def _tokens(records: DataFrame) -> DataFrame:
-    """(rid, source, tokens, keys) and the tokens of exact blocks, of the records with any token."""
+def read_records(records: DataFrame) -> DataFrame:
+    """The records of (source, key, names, address), read into tokens."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for rid, source, names, urls in zip(batch["rid"], batch["source"], batch["names"], batch["urls"]):
-                r = resources.read(tuple(x or "" for x in names), urls or "")
-                keys = r.keys
-                tokens = sorted(keys | r.words | r.shorts)
+            for source, key, names, address in zip(batch["source"], batch["key"], batch["names"], batch["address"]):
+                r = resources.read(tuple(names), address)
+                tokens = r.tokens
                 if tokens:
-                    rows.append((rid, source, tokens, sorted(keys), *m.exact_fields(r)))
-            yield pd.DataFrame(rows, columns=["rid", "source", "tokens", "keys", *(c.split()[0] for c in m.EXACT.split(", "))])
-
-    return cut(records.mapInPandas(read, f"rid long, source string, tokens array<string>, keys array<string>, {m.EXACT}"))
-
-
-def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The records, and (l, r, whole, key, agrees) of all pairs that meet."""
-    records = _records(spark, sf_dir)
-    tokens = _tokens(records)
-    total = tokens.count()
-    table = m.train(m.walk_sentences(tokens))
-    weights = tokens.select(F.explode("tokens").alias("token"), (F.col("source") == "inventory").cast("int").alias("first")).groupBy("token").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("first").alias("n_first"))
-    weights = cut(weights)
-    # Words of another kind of body: at most 1 / ALIEN_SHARE of them stand in so large a share of the records.
-    alien = frozenset(r["token"] for r in weights.where(
-        (F.col("n_first") == 0) & (F.col("n") > max(ALIEN_RECORDS, ALIEN_SHARE * total))).select("token").collect())
-    blocks, vectors = m.hashed(tokens, table, weights.select("token", "n"), total)
-    sided = blocks.join(tokens.select("rid", (F.col("source") == "inventory").alias("first")), "rid")
-    exact = m.exact_blocks(tokens.where("source = 'inventory'"), tokens.where("source <> 'inventory'"))
-    both = [sided.where(side).select("rid", "kind", "code").unionByName(known) for side, known in zip(("first", "not first"), exact)]
-    pairs = m.meetings(*both).distinct()
-    side = records.join(vectors, "rid")
-    full = pairs.join(side.select(F.col("rid").alias("l"), F.col("vector").alias("lv"), F.col("names").alias("ln"), F.col("urls").alias("lu")), "l")
-    full = full.join(side.select(F.col("rid").alias("r"), F.col("vector").alias("rv"), F.col("names").alias("rn"), F.col("urls").alias("ru")), "r")
-    return records, cut(m.compare(full, table, alien))
-
-
-def without_lookalikes(found: DataFrame, records: DataFrame) -> DataFrame:
-    """``found`` (l, r, agrees, confidence) without the pairs that evidence speaks against.
-
-    A registry record may be several inventory records, of one resource. A pair goes only if
-    another inventory record agrees better with the registry record and its full name or
-    address tells that both inventory records are not one resource; of equals all stay.
-    """
-    best = found.groupBy("r").agg(F.max(F.struct("agrees", "confidence", "l")).alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    best = best.select("r", F.col("b.l").alias("best"), F.col("b.agrees").alias("most"))
-    told = lambda p: records.select(F.col("rid").alias(p), F.col("names").alias(f"{p}_names"), F.col("urls").alias(f"{p}_urls"))
-    weaker = found.join(best, "r").where("agrees < most").join(told("l"), "l").join(told("best"), "best")
+                    fields = [list(f) for f in (r.shorts, r.full, dict.fromkeys(t for p in r.parts for t in p)) if f]
+                    rows.append((f"{source}\u0001{key}", source, key, source == "inventory", list(r.shorts), list(r.full), list(r.urls),
+                                 [list(p) for p in r.parts], list(r.words), list(r.plain), tokens, fields))
+            yield pd.DataFrame(rows, columns=["rid", "source", "key", "first", "shorts", "full", "urls", "parts", "words", "plain", "tokens", "fields"])
 
-    def apart(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of = lambda names, urls: resources.read(tuple(x or "" for x in names), urls or "")
-        for batch in batches:
-            rows = zip(batch["l_names"], batch["l_urls"], batch["best_names"], batch["best_urls"])
-            yield batch[[resources.conflict(of(a, b), of(c, d)) for a, b, c, d in rows]][["l", "r"]]
+    texts = ", ".join(f"{c} array<string>" for c in ("shorts", "full", "urls"))
+    return cut(records.mapInPandas(read, f"rid string, source string, key string, first boolean, {texts}, parts array<array<string>>, words array<string>, "
+                                         "plain array<string>, tokens array<string>, fields array<array<string>>"))
+
+
+def token_weights(records: DataFrame, total: int) -> tuple[dict[str, float], frozenset[str]]:
+    """The weights of frequent tokens (all others weigh 1) and the tokens too common to identify; bounded by the shares."""
+    counts = records.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    frequent = counts.where((F.col("n") > 1) & (F.col("n") > m.RARE * total)).collect()
+    weight = {r["token"]: max(0.02, min(1.0, math.log(total / r["n"]) / math.log(1 / m.RARE))) for r in frequent}
+    return weight, frozenset(r["token"] for r in frequent if r["n"] >= m.COMMON * total and r["n"] > 2)
 
-    return found.join(weaker.mapInPandas(apart, "l long, r long"), ["l", "r"], "left_anti")
+
+def with_holders_and_kind(records: DataFrame, total: int) -> DataFrame:
+    """``records`` with ``holders`` (for each short name of the first source, its records there) and ``kind``.
+
+    ``kind``: the log-ratio of the shares that the first and the other sources have of the word of the name (short names aside)
+    that is least usual in the first one, which tells bodies of another kind.
+    """
+    first = records.where("first").select("rid", F.posexplode("shorts").alias("pos", "token"))
+    held = first.groupBy("token").agg(F.count(F.lit(1)).cast("int").alias("n")).where("n > 1")
+    held = join_unique(first, held, ["token"]).groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct("pos", "n"))).alias("held"))
+    sizes = {r["first"]: r["count"] for r in records.groupBy("first").count().collect()}
+    words = records.select("first", F.explode("plain").alias("word")).groupBy("word").agg(F.count_if("first").alias("a"), F.count_if(~F.col("first")).alias("b"))
+    # Words in this share of the other sources: at most (words of a name / share) of them.
+    usual = words.where((F.col("b") > 0) & (F.col("b") >= m.COMMON * sizes.get(False, 0))).collect()
+    ratio = {r["word"]: math.log((r["a"] / max(1, sizes.get(True, 0)) + KIND_SHARE) / (r["b"] / sizes[False] + KIND_SHARE)) for r in usual}
+    sent = records.sparkSession.sparkContext.broadcast(ratio)
+
+    @F.pandas_udf("double")
+    def kind(plain: pd.Series) -> pd.Series:
+        return pd.Series([min((sent.value[w] for w in words if w in sent.value), default=np.nan) for words in plain], dtype=float)
+
+    counted = F.transform("shorts", lambda s, i: F.coalesce(F.try_element_at("held", i.cast("int")), F.lit(1)))
+    return records.join(held, "rid", "left").withColumn("holders", F.coalesce(counted, F.transform("shorts", lambda s: F.lit(1)))).withColumn("kind", kind("plain")).drop("held")
+
+
+def scored_pairs(records: DataFrame, table: np.ndarray | None = None) -> DataFrame:
+    """(l, r, source and the cosines) of all pairs that meet; ``table``: vectors to use instead of trained ones."""
+    total = records.count()
+    weight, common = token_weights(records, total)
+    if table is None:
+        table = m.train(m.walk_sentences(records), m.WALKS * total)
+    pairs = m.candidate_pairs(records, table, common, total)
+    told = with_holders_and_kind(records, total)
+    side = lambda key, name: told.select(F.col("rid").alias(key), F.struct(*m.COMPARED).alias(name), F.col("source"))
+    full = pairs.join(side("l", "a").drop("source"), "l").join(side("r", "b"), "r")
+    return m.compare(full.select("l", "r", "a", "b"), table, weight, common).withColumn("source", F.split("r", "\u0001")[0])
+
+
+def matches(records: DataFrame, table: np.ndarray | None = None) -> DataFrame:
+    """(l, r, confidence) of the pairs whose calibrated cosines tell that they are one resource."""
+    return m.calibrated(scored_pairs(records, table)).where(F.col("confidence") >= LEAST)
 
 
 def p4_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(resource_num, registry, registry_id, confidence) of each pair of records of one resource."""
-    records, scored = _scored(spark, sf_dir)
-    (whole, key), constant = m.calibrate(scored)
-    odds = F.lit(float(whole)) * F.col("whole") + F.lit(float(key)) * F.col("key") + F.lit(constant)
-    confidence = (F.lit(1.0) / (1 + F.exp(-odds)) + F.col("agrees")) / 2
-    found = scored.where(F.col("agrees") >= LEAST).select("l", "r", "agrees", confidence.alias("confidence"))
-    found = without_lookalikes(found, records).select("l", "r", "confidence")
-    names = records.select("rid", "source", "key")
-    found = found.join(names.where("source = 'inventory'").select(F.col("rid").alias("l"), F.col("key").try_cast("bigint").alias("resource_num")), "l")
-    found = found.join(names.select(F.col("rid").alias("r"), F.col("source").alias("registry"), F.col("key").alias("registry_id")), "r")
-    return found.select("resource_num", "registry", "registry_id", "confidence")
+    found = matches(_records(spark, sf_dir)).select(F.split("l", "\u0001")[1].alias("l"), F.split("r", "\u0001", 2).alias("r"), "confidence")
+    return found.select(F.col("l").try_cast("bigint").alias("resource_num"), F.col("r")[0].alias("registry"), F.col("r")[1].alias("registry_id"), "confidence")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each pair of an inventory record and a registry record of one resource."""
-    return p4_matches(spark, sf_dir).select("resource_num", "registry", "registry_id").distinct()
+    return p4_matches(spark, sf_dir).select("resource_num", "registry", "registry_id")
 
 
 QUERIES = {"p4_found": p4_found, "p4_matches": p4_matches}

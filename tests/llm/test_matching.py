@@ -1,76 +1,121 @@
-"""Records of two sources meet wherever their comparison may accept them."""
-
-from biblioforge.llm import matching as m
-from biblioforge.llm import resources
-
-
-def _side(spark, rows, start):
-    read = [resources.read(names, url) for names, url in rows]
-    data = [(start + i, *m.exact_fields(r)) for i, r in enumerate(read)]
-    return read, spark.createDataFrame(data, f"rid long, {m.EXACT}")
+"""Records of two sources meet, are compared by cosines and judged by the calibration."""
 
+import math
+import random
 
-def _met(spark, left, right):
-    (a, left), (b, right) = _side(spark, left, 0), _side(spark, right, 1000)
-    met = {(r["l"], r["r"] - 1000) for r in m.meetings(*m.exact_blocks(left, right)).collect()}
-    true = {(i, j) for i, x in enumerate(a) for j, y in enumerate(b) if resources.agreement(x, y, frozenset()) > 0}
-    return met, true
+import numpy as np
+import pytest
 
+from biblioforge.llm import matching as m
+from biblioforge.llm import queries_matching as q
+from biblioforge.llm import resources
 
-def test_slips_meet(spark):
-    left = [
-        (("NigloglalulKB",), "https://niglo.res.example/"), (("NukunokoHub",), ""), (("Rabodatu",), ""),
-        (("", "", "Coral protein splicing Browser"), "http://dydastufes.res.example"), (("Vonyrapus Atlas",), "https://vonyrapus.info.example"),
-    ]
-    right = [
-        (("NigloglalluKB",), ""), (("NukunokHub",), "https://nukunok.org.example"), (("Radobatu",), ""),
-        (("Dyddastufes: Coral protein splicing Browser",), ""), (("Vonyrapsu Atlas",), ""), (("Ribotrekom",), "https://ribotrekom.org.example"),
+COLUMNS = "source string, key string, names array<string>, address string"
+
+
+def _made(n=240, seed=4):
+    """Records of an inventory and a registry with slips, missing and moved addresses; gives the rows and the true pairs."""
+    rng = random.Random(seed)
+    part = lambda: rng.choice("b d f g k l m n p r s t v z br dr fl gl kr st tr".split()) + rng.choice("aeiouy")
+    kinds, things, ends = "Plant Yeast Rice Human Viral Moss Coral Maize".split(), "gene toxin protein enzyme lipid exon".split(), "Database Atlas Archive Portal".split()
+    rows, true = [], set()
+    for i in range(n):
+        coined = "".join(part() for _ in range(4)).title()
+        full = f"{rng.choice(kinds)} {rng.choice(things)} {rng.choice(things)} {rng.choice(ends)}"
+        url = f"https://{coined.lower()}.{rng.choice(['org', 'net', 'edu'])}.example/{coined.lower()}db"
+        rows.append(("inventory", str(i), [coined + "DB", coined + "DB", full if rng.random() < 0.7 else None], url))
+        if rng.random() < 0.6:
+            k = rng.randrange(1, len(coined) - 1)
+            name = coined[:k] + coined[k + 1:] if rng.random() < 0.2 else coined
+            address = None if rng.random() < 0.1 else url.replace("https", "http").upper() if rng.random() < 0.9 else f"https://hosting.example/{coined.lower()}/"
+            rows.append(("re3data", f"r{i}", [f"{name}DB: {full}"], address))
+            true.add((f"inventory\u0001{i}", f"re3data\u0001r{i}"))
+        else:
+            other = "".join(part() for _ in range(4)).title()
+            rows.append(("re3data", f"x{i}", [f"{other}DB ({full})"], f"https://{other.lower()}.org.example/"))
+    return rows, true
+
+
+@pytest.fixture(scope="module")
+def made(spark):
+    rows, true = _made()
+    return q.read_records(spark.createDataFrame(rows, COLUMNS)), true
+
+
+def test_true_pairs_come_out(spark, made):
+    records, true = made
+    found = {(r["l"], r["r"]) for r in q.matches(records).collect()}
+    assert len(found & true) >= 0.95 * len(true) and len(found & true) >= 0.95 * len(found)
+
+
+def test_blocks_against_all_pairs(spark, made):
+    """Of the true pairs that the calibration accepts among all pairs, nearly all meet in a block."""
+    records, true = made
+    total = records.count()
+    weight, common = q.token_weights(records, total)
+    table = m.start_table()
+    told = q.with_holders_and_kind(records, total)
+    from pyspark.sql import functions as F
+
+    side = lambda key, name, which: told.where(which).select(F.col("rid").alias(key), F.struct(*m.COMPARED).alias(name))
+    every = side("l", "a", "first").join(side("r", "b", "not first"))
+    scored = m.compare(every, table, weight, common).withColumn("source", F.lit("re3data"))
+    brute = {(r["l"], r["r"]) for r in m.calibrated(scored).where(F.col("confidence") >= q.LEAST).collect()} & true
+    met = {(r["l"], r["r"]) for r in m.candidate_pairs(records, table, common, total).collect()}
+    assert len(brute & met) >= 0.98 * len(brute) and len(met) < 0.2 * every.count()
+
+
+def test_slips_and_full_names_meet(spark):
+    rows = [
+        ("inventory", "1", ["NigloglalulKB"], None), ("inventory", "2", [None, "", "Coral protein splicing Browser"], ""), ("inventory", "3", ["Vonyrapus Atlas"], "https://a.example/x"),
+        ("inventory", "4", [""], None), ("inventory", "5", ["Rabodatu"], "https://same.place.example/Home"),
+        ("re3data", "1", ["NigloglalluKB"], None), ("re3data", "2", ["Dydastufes: Coral protein splicing Browser"], None), ("re3data", "3", ["Vonyrapsu Atlas"], None),
+        ("re3data", "4", [None], ""), ("re3data", "5", ["Ribotrekom"], "http://www.same.place.example:80/"), ("re3data", "5", ["Ribotrekom"], "http://www.same.place.example:80/"),
     ]
-    met, true = _met(spark, left, right)
-    assert {(0, 0), (1, 1), (3, 3), (4, 4)} <= true <= met
-    assert not any(j == 5 for _, j in met)
-
-
-def test_frequent_tokens_meet(spark):
-    full = "Plant biomarker regulation Portal"
-    left = [(("PBRdb", "", full), f"https://x.example/{i}a" if i else "") for i in range(25)] + [(("", "", full), f"https://coinedhost{i}.example") for i in range(25)]
-    right = [((f"{full} (PBRdb)",), "" if i % 2 else f"https://moved{i}place.example") for i in range(25)] + [(("Plant biomarkers regulation Portals",), "")] * 25
-    met, true = _met(spark, left, right)
-    assert len(true) > 1000 and true <= met
-
-
-def test_low_cosine_is_compared(spark):
-    """Pairs that met are compared by attributes however far apart the records are as a whole."""
-    one, two = [1.0] + [0.0] * (m.DIM - 1), [0.0] * (m.DIM - 1) + [1.0]
-    rows = [(1, 2, one, two, ["NigloglalulKB"], "https://abc.example/morenames", ["NigloglalluKB"], "")]
-    names = "l long, r long, lv array<float>, rv array<float>, ln array<string>, lu string, rn array<string>, ru string"
-    found = m.compare(spark.createDataFrame(rows, names), m.start_table(), frozenset()).collect()
-    assert found[0]["whole"] == 0.0 and found[0]["agrees"] >= 0.5 and found[0]["key"] > 0.2
+    records = q.read_records(spark.createDataFrame(rows, COLUMNS).dropDuplicates(["source", "key"]))
+    assert records.count() == 8
+    met = {tuple(x.split("\u0001")[1] for x in (r["l"], r["r"])) for r in m.candidate_pairs(records, m.start_table(), frozenset(), 8).collect()}
+    assert {("1", "1"), ("2", "2"), ("3", "3"), ("5", "5")} <= met and ("1", "5") not in met
 
 
 def test_large_blocks_stay_whole(spark):
     n = 3 * m.PIECE + 7
-    side = lambda lo, count: spark.range(lo, lo + count).selectExpr("id as rid", "0 as kind", "cast(5 as long) as code", "cast(id % 7 as int) as more")
-    met = m.meetings(side(0, n), side(10_000, 90))
+    side = lambda lo, count: spark.range(lo, lo + count).selectExpr("id as rid", "0 as kind", "cast(5 as long) as code")
+    met = m.meetings(side(0, n), side(10_000, 90), ["kind", "code"])
     assert met.count() == met.distinct().count() == 90 * n
-    assert m.meetings(side(0, n), side(0, 0)).count() == 0
-
-
-def test_resources_held_twice(spark):
-    from biblioforge.llm.queries_matching import without_lookalikes
-
-    rows = [
-        (1, ["Nukunoko", "", "Coral protein splicing Browser"], "https://nukunoko.example"), (2, ["NukunokoHub"], "https://nukunoko.example"),
-        (3, ["Nukunoko", "", "Porcine toxin imaging Database"], "https://other.example/porcine"), (4, ["Nukunoko"], "https://nukunoko.example"),
-    ]
-    records = spark.createDataFrame(rows, "rid long, names array<string>, urls string")
-    pairs = [(1, 9, 1.0, 0.99), (2, 9, 0.95, 0.9), (3, 9, 0.6, 0.7), (4, 9, 1.0, 0.98), (3, 8, 0.6, 0.7)]
-    found = without_lookalikes(spark.createDataFrame(pairs, "l long, r long, agrees double, confidence double"), records)
-    assert sorted((x["l"], x["r"]) for x in found.collect()) == [(1, 9), (2, 9), (3, 8), (4, 9)]
-
-
-def test_acronyms_with_endings():
-    read = lambda name, url="": resources.read((name,), url)
-    assert resources.agreement(read("OHSbase", "https://stakatagol.org.example/"), read("GGSbase"), frozenset()) == 0.0
-    assert resources.agreement(read("GSGbase", "https://stakatagol.org.example/"), read("GGSbase"), frozenset()) > 0
-    assert resources.agreement(read("NukunokoHub"), read("NukunokHub"), frozenset()) >= 0.5
+    assert m.meetings(side(0, n), side(0, 0), ["kind", "code"]).count() == 0
+
+
+def test_empty_sides(spark):
+    rows, _ = _made(12)
+    for keep in ("inventory", "re3data", "none"):
+        records = q.read_records(spark.createDataFrame([r for r in rows if r[0] == keep], COLUMNS))
+        assert q.matches(records).count() == 0
+
+
+def test_training_draws_companions_together():
+    """Words that stand in the same names become alike, and no two words the same."""
+    rng = random.Random(2)
+    walks = [[rng.choice(["seed", "weather"]), "museum", "history"] if i % 2 else ["protein", rng.choice(["enzyme", "lipid"]), f"base{i % 7}"] for i in range(4000)]
+    table = m.start_table()
+    for i in range(8):
+        table = m.train_step(walks[500 * i:500 * (i + 1)], table, i)
+    cosine = lambda a, b, t: float(m.vector(a, t) @ m.vector(b, t))
+    gain = lambda a, b: cosine(a, b, table) - cosine(a, b, m.start_table())
+    assert gain("museum", "history") > 0.1 > gain("museum", "protein") and cosine("museum", "history", table) < 0.98
+    assert np.array_equal(m.train_step([], table, 1), table)
+
+
+def test_cosines_by_attribute():
+    def side(names, url=""):
+        r = resources.read(names, url)
+        row = {"shorts": r.shorts, "full": r.full, "parts": r.parts, "words": r.words, "holders": [1] * len(r.shorts)}
+        return m._Side(row, m.start_table(), {}, frozenset(), {})
+
+    a = side(("AHPdb", "Amphibian haplotype polymorphism Database"), "https://ahpdb.zugybebrar.example/~tools/AHPdb")
+    b = side(("Amphibian haplotype polymorphism Database_AND_ahpdb",), "ahpdb.zugybebrar.example/~tools/AHPdb/")
+    c = side(("Amphibian enhancer dynamics Database",), "https://www.tudryzitum.org.example/")
+    assert np.allclose(m.cosines(a, b), (1, 1, 1, 1, 1), atol=1e-5)
+    name, worst, cover, url, holders = m.cosines(a, c)
+    assert worst < 0.5 and url < 0.6 and holders == 0
+    assert all(math.isnan(x) for x in m.cosines(side(("",)), a)[:4])
