@@ -52,15 +52,17 @@ def read_records(records: DataFrame) -> DataFrame:
                                          "plain array<string>, tokens array<string>, fields array<array<string>>"))
 
 
-def token_weights(records: DataFrame, total: int) -> tuple[dict[str, float], frozenset[str]]:
-    """The weights of frequent tokens (all others weigh 1) and the tokens too common to identify; bounded by the shares."""
+def token_stats(records: DataFrame) -> m.Stats:
+    """The statistics of tokens over all records."""
+    total = records.count()
     counts = records.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    frequent = counts.where((F.col("n") > 1) & (F.col("n") > m.RARE * total)).collect()
-    weight = {r["token"]: max(0.02, min(1.0, math.log(total / r["n"]) / math.log(1 / m.RARE))) for r in frequent}
-    return weight, frozenset(r["token"] for r in frequent if r["n"] >= m.COMMON * total and r["n"] > 2)
+    usual = counts.where((F.col("n") > 1) & (F.col("n") > m.RARE * total)).collect()
+    weight = {r["token"]: max(0.02, min(1.0, math.log(total / r["n"]) / math.log(1 / m.RARE))) for r in usual}
+    common = frozenset(r["token"] for r in usual if r["n"] >= m.COMMON * total and r["n"] > 2)
+    return m.Stats(total, weight, common, frozenset(r["token"] for r in usual if r["n"] > m.FREQUENT))
 
 
-def with_holders_and_kind(records: DataFrame, total: int) -> DataFrame:
+def with_holders_and_kind(records: DataFrame) -> DataFrame:
     """``records`` with ``holders`` (for each short name of the first source, its records there) and ``kind``.
 
     ``kind``: the log-ratio of the shares that the first and the other sources have of the word of the name (short names aside)
@@ -86,15 +88,14 @@ def with_holders_and_kind(records: DataFrame, total: int) -> DataFrame:
 
 def scored_pairs(records: DataFrame, table: np.ndarray | None = None) -> DataFrame:
     """(l, r, source and the cosines) of all pairs that meet; ``table``: vectors to use instead of trained ones."""
-    total = records.count()
-    weight, common = token_weights(records, total)
+    stats = token_stats(records)
     if table is None:
-        table = m.train(m.walk_sentences(records), m.WALKS * total)
-    pairs = m.candidate_pairs(records, table, common, total)
-    told = with_holders_and_kind(records, total)
-    side = lambda key, name: told.select(F.col("rid").alias(key), F.struct(*m.COMPARED).alias(name), F.col("source"))
-    full = pairs.join(side("l", "a").drop("source"), "l").join(side("r", "b"), "r")
-    return m.compare(full.select("l", "r", "a", "b"), table, weight, common).withColumn("source", F.split("r", "\u0001")[0])
+        table = m.train(m.walk_sentences(records), m.WALKS * stats.total)
+    pairs = m.candidate_pairs(records, table, stats)
+    told = cut(with_holders_and_kind(records).select("rid", "first", m.packed().alias("record"), "kind"))
+    full = pairs.join(told.where("first").select(F.col("rid").alias("l"), F.col("record").alias("a")), "l")
+    full = full.join(told.where("not first").select(F.col("rid").alias("r"), F.col("record").alias("b"), "kind"), "r")
+    return m.compare(full, table, stats).withColumn("source", F.split("r", "\u0001")[0])
 
 
 def matches(records: DataFrame, table: np.ndarray | None = None) -> DataFrame:

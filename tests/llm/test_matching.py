@@ -51,17 +51,16 @@ def test_true_pairs_come_out(spark, made):
 def test_blocks_against_all_pairs(spark, made):
     """Of the true pairs that the calibration accepts among all pairs, nearly all meet in a block."""
     records, true = made
-    total = records.count()
-    weight, common = q.token_weights(records, total)
+    stats = q.token_stats(records)
     table = m.start_table()
-    told = q.with_holders_and_kind(records, total)
+    told = q.with_holders_and_kind(records)
     from pyspark.sql import functions as F
 
-    side = lambda key, name, which: told.where(which).select(F.col("rid").alias(key), F.struct(*m.COMPARED).alias(name))
-    every = side("l", "a", "first").join(side("r", "b", "not first"))
-    scored = m.compare(every, table, weight, common).withColumn("source", F.lit("re3data"))
+    side = lambda key, name, which: told.where(which).select(F.col("rid").alias(key), m.packed().alias(name), "kind")
+    every = side("l", "a", "first").drop("kind").join(side("r", "b", "not first"))
+    scored = m.compare(every, table, stats).withColumn("source", F.lit("re3data"))
     brute = {(r["l"], r["r"]) for r in m.calibrated(scored).where(F.col("confidence") >= q.LEAST).collect()} & true
-    met = {(r["l"], r["r"]) for r in m.candidate_pairs(records, table, common, total).collect()}
+    met = {(r["l"], r["r"]) for r in m.candidate_pairs(records, table, stats).collect()}
     assert len(brute & met) >= 0.98 * len(brute) and len(met) < 0.2 * every.count()
 
 
@@ -74,7 +73,7 @@ def test_slips_and_full_names_meet(spark):
     ]
     records = q.read_records(spark.createDataFrame(rows, COLUMNS).dropDuplicates(["source", "key"]))
     assert records.count() == 8
-    met = {tuple(x.split("\u0001")[1] for x in (r["l"], r["r"])) for r in m.candidate_pairs(records, m.start_table(), frozenset(), 8).collect()}
+    met = {tuple(x.split("\u0001")[1] for x in (r["l"], r["r"])) for r in m.candidate_pairs(records, m.start_table(), q.token_stats(records)).collect()}
     assert {("1", "1"), ("2", "2"), ("3", "3"), ("5", "5")} <= met and ("1", "5") not in met
 
 
@@ -109,8 +108,9 @@ def test_training_draws_companions_together():
 def test_cosines_by_attribute():
     def side(names, url=""):
         r = resources.read(names, url)
-        row = {"shorts": r.shorts, "full": r.full, "parts": r.parts, "words": r.words, "holders": [1] * len(r.shorts)}
-        return m._Side(row, m.start_table(), {}, frozenset(), {})
+        lists = (r.shorts, r.full, None, r.words, ["1"] * len(r.shorts))
+        row = "\u001e".join("\u001d".join(map("\u001f".join, r.parts)) if x is None else "\u001f".join(x) for x in lists)
+        return m._Side(row, m.start_table(), m.Stats(1, {}, frozenset(), frozenset()), {})
 
     a = side(("AHPdb", "Amphibian haplotype polymorphism Database"), "https://ahpdb.zugybebrar.example/~tools/AHPdb")
     b = side(("Amphibian haplotype polymorphism Database_AND_ahpdb",), "ahpdb.zugybebrar.example/~tools/AHPdb/")
