@@ -20,7 +20,7 @@ LEAST, KIND_SHARE = 0.5, 1e-3
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(rid, source, key, first) and the columns of a resource: one row for each record with any name or address."""
+    """The records of the inventory and the two registries, a record delivered again once."""
     inventory = load(spark, sf_dir, "inventory").select(
         F.lit("inventory").alias("source"), F.col("resource_num").cast("string").alias("key"),
         F.array("inv_name", "inv_comm_name", "inv_full_name").alias("names"), F.col("inv_url").alias("address"))
@@ -33,27 +33,20 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def read_records(records: DataFrame) -> DataFrame:
-    """The records of (source, key, names, address), read into tokens."""
+    """(rid, source, key, first, record) of (source, key, names, address): the records with any name or address, read, numbered and packed."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for source, key, names, address in zip(batch["source"], batch["key"], batch["names"], batch["address"]):
-                r = resources.read(tuple(names), address)
-                tokens = r.tokens
-                if tokens:
-                    fields = [list(f) for f in (r.shorts, r.full, dict.fromkeys(t for p in r.parts for t in p)) if f]
-                    rows.append((f"{source}\u0001{key}", source, key, source == "inventory", list(r.shorts), list(r.full), list(r.urls),
-                                 [list(p) for p in r.parts], list(r.words), list(r.plain), tokens, fields))
-            yield pd.DataFrame(rows, columns=["rid", "source", "key", "first", "shorts", "full", "urls", "parts", "words", "plain", "tokens", "fields"])
+            found = [resources.read(tuple(names), address) for names, address in zip(batch["names"], batch["address"])]
+            batch = batch[["source", "key"]].assign(first=batch["source"] == "inventory", record=[m.pack(r) for r in found])
+            yield batch[[bool(r.tokens) for r in found]]
 
-    texts = ", ".join(f"{c} array<string>" for c in ("shorts", "full", "urls"))
-    return cut(records.mapInPandas(read, f"rid string, source string, key string, first boolean, {texts}, parts array<array<string>>, words array<string>, "
-                                         "plain array<string>, tokens array<string>, fields array<array<string>>"))
+    # The numbers are kept with the records, so that they stay the same whatever is computed again later.
+    return cut(records.mapInPandas(read, "source string, key string, first boolean, record string").select(F.monotonically_increasing_id().alias("rid"), "*"))
 
 
 def token_stats(records: DataFrame) -> m.Stats:
-    """The statistics of tokens over all records."""
+    """The statistics of tokens over all (unpacked) records."""
     total = records.count()
     counts = records.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     usual = counts.where((F.col("n") > 1) & (F.col("n") > m.RARE * total)).collect()
@@ -62,15 +55,22 @@ def token_stats(records: DataFrame) -> m.Stats:
     return m.Stats(total, weight, common, frozenset(r["token"] for r in usual if r["n"] > m.FREQUENT))
 
 
-def with_holders_and_kind(records: DataFrame) -> DataFrame:
-    """``records`` with ``holders`` (for each short name of the first source, its records there) and ``kind``.
+def with_holders(records: DataFrame) -> DataFrame:
+    """(rid, record) of the first source, with the number of its records that hold each short name added to the packed record."""
+    first = records.where("first").select("rid", F.posexplode("shorts").alias("pos", "token"))
+    held = first.groupBy("token").agg(F.count(F.lit(1)).cast("int").alias("n")).where("n > 1")
+    held = join_unique(first, held, ["token"]).groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct("pos", "n"))).alias("held"))
+    counted = F.transform("shorts", lambda s, i: F.coalesce(F.try_element_at("held", i.cast("int")), F.lit(1)).cast("string"))
+    told = records.where("first").select("rid", "record", "shorts").join(held, "rid", "left")
+    return told.select("rid", F.concat_ws(m.ATTRIBUTE, "record", F.when(F.col("held").isNotNull(), F.array_join(counted, m.TOKEN))).alias("record"))
+
+
+def with_kind(records: DataFrame) -> DataFrame:
+    """(rid, source, record, kind) of the other sources.
 
     ``kind``: the log-ratio of the shares that the first and the other sources have of the word of the name (short names aside)
     that is least usual in the first one, which tells bodies of another kind.
     """
-    first = records.where("first").select("rid", F.posexplode("shorts").alias("pos", "token"))
-    held = first.groupBy("token").agg(F.count(F.lit(1)).cast("int").alias("n")).where("n > 1")
-    held = join_unique(first, held, ["token"]).groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct("pos", "n"))).alias("held"))
     sizes = {r["first"]: r["count"] for r in records.groupBy("first").count().collect()}
     words = records.select("first", F.explode("plain").alias("word")).groupBy("word").agg(F.count_if("first").alias("a"), F.count_if(~F.col("first")).alias("b"))
     # Words in this share of the other sources: at most (words of a name / share) of them.
@@ -82,20 +82,19 @@ def with_holders_and_kind(records: DataFrame) -> DataFrame:
     def kind(plain: pd.Series) -> pd.Series:
         return pd.Series([min((sent.value[w] for w in words if w in sent.value), default=np.nan) for words in plain], dtype=float)
 
-    counted = F.transform("shorts", lambda s, i: F.coalesce(F.try_element_at("held", i.cast("int")), F.lit(1)))
-    return records.join(held, "rid", "left").withColumn("holders", F.coalesce(counted, F.transform("shorts", lambda s: F.lit(1)))).withColumn("kind", kind("plain")).drop("held")
+    return records.where("not first").select("rid", "source", "record", kind("plain").alias("kind"))
 
 
 def scored_pairs(records: DataFrame, table: np.ndarray | None = None) -> DataFrame:
     """(l, r, source and the cosines) of all pairs that meet; ``table``: vectors to use instead of trained ones."""
+    records = m.unpacked(records)
     stats = token_stats(records)
     if table is None:
         table = m.train(m.walk_sentences(records), m.WALKS * stats.total)
     pairs = m.candidate_pairs(records, table, stats)
-    told = cut(with_holders_and_kind(records).select("rid", "first", m.packed().alias("record"), "kind"))
-    full = pairs.join(told.where("first").select(F.col("rid").alias("l"), F.col("record").alias("a")), "l")
-    full = full.join(told.where("not first").select(F.col("rid").alias("r"), F.col("record").alias("b"), "kind"), "r")
-    return m.compare(full, table, stats).withColumn("source", F.split("r", "\u0001")[0])
+    full = pairs.join(with_holders(records).withColumnsRenamed({"rid": "l", "record": "a"}), "l")
+    full = full.join(with_kind(records).withColumnsRenamed({"rid": "r", "record": "b"}), "r")
+    return m.compare(full, table, stats)
 
 
 def matches(records: DataFrame, table: np.ndarray | None = None) -> DataFrame:
@@ -105,8 +104,10 @@ def matches(records: DataFrame, table: np.ndarray | None = None) -> DataFrame:
 
 def p4_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(resource_num, registry, registry_id, confidence) of each pair of records of one resource."""
-    found = matches(_records(spark, sf_dir)).select(F.split("l", "\u0001")[1].alias("l"), F.split("r", "\u0001", 2).alias("r"), "confidence")
-    return found.select(F.col("l").try_cast("bigint").alias("resource_num"), F.col("r")[0].alias("registry"), F.col("r")[1].alias("registry_id"), "confidence")
+    records = _records(spark, sf_dir)
+    found = matches(records).join(records.where("first").select(F.col("rid").alias("l"), F.col("key").try_cast("bigint").alias("resource_num")), "l")
+    found = found.join(records.where("not first").select(F.col("rid").alias("r"), F.col("source").alias("registry"), F.col("key").alias("registry_id")), "r")
+    return found.select("resource_num", "registry", "registry_id", "confidence")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ def _made(n=240, seed=4):
             name = coined[:k] + coined[k + 1:] if rng.random() < 0.2 else coined
             address = None if rng.random() < 0.1 else url.replace("https", "http").upper() if rng.random() < 0.9 else f"https://hosting.example/{coined.lower()}/"
             rows.append(("re3data", f"r{i}", [f"{name}DB: {full}"], address))
-            true.add((f"inventory\u0001{i}", f"re3data\u0001r{i}"))
+            true.add((str(i), f"r{i}"))
         else:
             other = "".join(part() for _ in range(4)).title()
             rows.append(("re3data", f"x{i}", [f"{other}DB ({full})"], f"https://{other.lower()}.org.example/"))
@@ -42,25 +42,26 @@ def made(spark):
     return q.read_records(spark.createDataFrame(rows, COLUMNS)), true
 
 
-def test_true_pairs_come_out(spark, made):
+def _keys(records, pairs):
+    """The keys of pairs of record numbers."""
+    key = {r["rid"]: r["key"] for r in records.collect()}
+    return {(key[r["l"]], key[r["r"]]) for r in pairs.collect()}
+
+
+def test_true_pairs_come_out(made):
     records, true = made
-    found = {(r["l"], r["r"]) for r in q.matches(records).collect()}
+    found = _keys(records, q.matches(records))
     assert len(found & true) >= 0.95 * len(true) and len(found & true) >= 0.95 * len(found)
 
 
-def test_blocks_against_all_pairs(spark, made):
+def test_blocks_against_all_pairs(made):
     """Of the true pairs that the calibration accepts among all pairs, nearly all meet in a block."""
     records, true = made
-    stats = q.token_stats(records)
-    table = m.start_table()
-    told = q.with_holders_and_kind(records)
-    from pyspark.sql import functions as F
-
-    side = lambda key, name, which: told.where(which).select(F.col("rid").alias(key), m.packed().alias(name), "kind")
-    every = side("l", "a", "first").drop("kind").join(side("r", "b", "not first"))
-    scored = m.compare(every, table, stats).withColumn("source", F.lit("re3data"))
-    brute = {(r["l"], r["r"]) for r in m.calibrated(scored).where(F.col("confidence") >= q.LEAST).collect()} & true
-    met = {(r["l"], r["r"]) for r in m.candidate_pairs(records, table, stats).collect()}
+    shown = m.unpacked(records)
+    stats, table = q.token_stats(shown), m.start_table()
+    every = q.with_holders(shown).withColumnsRenamed({"rid": "l", "record": "a"}).join(q.with_kind(shown).withColumnsRenamed({"rid": "r", "record": "b"}))
+    brute = _keys(records, m.calibrated(m.compare(every, table, stats)).where(f"confidence >= {q.LEAST}")) & true
+    met = _keys(records, m.candidate_pairs(shown, table, stats))
     assert len(brute & met) >= 0.98 * len(brute) and len(met) < 0.2 * every.count()
 
 
@@ -73,7 +74,8 @@ def test_slips_and_full_names_meet(spark):
     ]
     records = q.read_records(spark.createDataFrame(rows, COLUMNS).dropDuplicates(["source", "key"]))
     assert records.count() == 8
-    met = {tuple(x.split("\u0001")[1] for x in (r["l"], r["r"])) for r in m.candidate_pairs(records, m.start_table(), q.token_stats(records)).collect()}
+    shown = m.unpacked(records)
+    met = _keys(records, m.candidate_pairs(shown, m.start_table(), q.token_stats(shown)))
     assert {("1", "1"), ("2", "2"), ("3", "3"), ("5", "5")} <= met and ("1", "5") not in met
 
 
@@ -107,10 +109,7 @@ def test_training_draws_companions_together():
 
 def test_cosines_by_attribute():
     def side(names, url=""):
-        r = resources.read(names, url)
-        lists = (r.shorts, r.full, None, r.words, ["1"] * len(r.shorts))
-        row = "\u001e".join("\u001d".join(map("\u001f".join, r.parts)) if x is None else "\u001f".join(x) for x in lists)
-        return m._Side(row, m.start_table(), m.Stats(1, {}, frozenset(), frozenset()), {})
+        return m._Side(m.pack(resources.read(names, url)), m.start_table(), m.Stats(1, {}, frozenset(), frozenset()), {})
 
     a = side(("AHPdb", "Amphibian haplotype polymorphism Database"), "https://ahpdb.zugybebrar.example/~tools/AHPdb")
     b = side(("Amphibian haplotype polymorphism Database_AND_ahpdb",), "ahpdb.zugybebrar.example/~tools/AHPdb/")
