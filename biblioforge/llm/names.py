@@ -179,14 +179,28 @@ def _weightless(token: str) -> bool:
     return token in EMPTY or (len(token) <= 4 and any(len(e) >= 2 and edits(token, e, 1) <= 1 and len(token) >= 2 for e in ("of", "for", "the", "and", "on", "de", "la")))
 
 
+#: Readings that a worker keeps, of texts up to this length.
+KEPT, KEPT_LENGTH = 100_000, 200
+
+
 def read(text: str, places: frozenset[str] = frozenset(), one_proper: bool = False) -> Name:
     """A typed name, read; ``places``: folded names of countries, dropped where they end the name after a comma;
     ``one_proper``: of several unknown words, all but the least lexicon-like are taken as badly mistyped lexicon words.
     """
+    return _kept(text, places, one_proper) if len(text) <= KEPT_LENGTH else _read(text, places, one_proper)
+
+
+@lru_cache(maxsize=KEPT)
+def _kept(text: str, places: frozenset[str], one_proper: bool) -> Name:
+    return _read(text, places, one_proper)
+
+
+def _read(text: str, places: frozenset[str], one_proper: bool) -> Name:
     head, comma, tail = text.rpartition(",")
     if comma and " ".join(fold(tail).replace(".", "").split()) in places:
         text = head
-    text = re.sub(r"(\w.*\w\W+)\([A-Z]{2,7}\)\W*$", r"\1", text)  # a name's own acronym after it
+    if "(" in text:
+        text = re.sub(r"(\w.*\w\W+)\([A-Z]{2,7}\)\W*$", r"\1", text)  # a name's own acronym after it
     shouted = text.upper() == text and len(text) > 8
     proper, bag, initials, acronyms, letters, place_first = [], [], "", [], [], False
     for raw in _TOKEN.findall(text):
