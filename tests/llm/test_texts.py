@@ -1,11 +1,12 @@
 """Encodings, tokens, mixes and cut texts."""
 
+import math
 import os
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from biblioforge.llm import encoding, mixing, tokens, truncation
 
@@ -85,12 +86,65 @@ def test_mix(spark):
     assert mixing.mix(df.limit(0), targets).count() == 0 and mixing.mix(df, targets.limit(0)).count() == 0
 
 
-def test_truncation(spark):
+def _brute(texts):
+    """Log-odds of each text's end, counted character by character."""
+    usual = Counter(w for t in texts for w in {x for x in truncation._WORD.findall(t) if x[0].isalpha() and "://" not in x})
+    usual = {w for w, n in usual.items() if n >= max(4, len(texts) * truncation.USUAL_SHARE)}
+    spelled = frozenset(usual | {w[:i] for w in usual for i in range(1, len(w))})
+    streams = [truncation.masked(truncation.body(t)[0], spelled) for t in texts]
+    ends, on = Counter(), Counter()
+
+    def contexts(s, i):
+        padded = "\x02" * 32 + s[:i]
+        yield from ((k, padded[-k:]) for k in truncation.LENGTHS)
+        if "\n" in s[:i] and s[i - 1] != "\n":
+            yield "line", truncation._shape(s[:i]).rpartition("\n")[2]
+
+    for s in streams:
+        ends.update(contexts(s, len(s)))
+        for i in range(1, len(s)):
+            on.update(c for c in contexts(s, i) if c[0] != "line")
+        shape = truncation._shape(s)
+        for i in range(1, len(shape)):
+            if "\n" in shape[:i] and shape[i - 1] != "\n":
+                on["line", shape[:i].rpartition("\n")[2]] += 1
+    scores = []
+    for s in streams:
+        share, last = truncation.FIRST_SHARE, None
+        for c in contexts(s, len(s)):
+            e, g = ends[c] - 1, on[c]
+            if c[0] != "line" and (e, g) != last:
+                last = e, g
+                share = (e + truncation.WEIGHT * share) / (e + g + truncation.WEIGHT)
+            elif c[0] == "line" and e + g >= truncation.SEEN:
+                share = max(share, (e + 0.1) / (e + g + 0.6))
+        scores.append(math.log(share / (1 - share)))
+    return scores
+
+
+def _documents():
     whole = [f"The {a} group checked the {b} tables of release {i}. Data are available at https://x{i}.example without registration." for i, (a, b) in enumerate((a, b) for a in ("first", "second", "third", "curation") for b in ("binding", "folding", "sequence", "pathway", "structure"))]
     docs = [(i, "en", t) for i, t in enumerate(whole * 3)] + [(100 + i, "en", t + "\nKeywords: binding, folding") for i, t in enumerate(whole)] + [(200 + i, None, t + "\nStay tuned for more…") for i, t in enumerate(whole)]
-    docs += [(900, "en", whole[0][:40]), (901, "en", whole[1] + " The first group checked the bind"), (902, "en", whole[2] + " The second group checked the ..."), (903, "en", None), (904, "en", ""), (905, "en", " \n"), (906, "xx", whole[3] + " Data are available [...]")]
-    df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, lang string, text string, rank int")
+    return docs + [(900, "en", whole[0][:40]), (901, "en", whole[1] + " The first group checked the bind"), (902, "en", whole[2] + " The second group checked the ..."), (903, "en", None), (904, "en", ""), (905, "en", " \n"), (906, "xx", whole[3] + " Data are available [...]"), (907, "en", whole[4] + " The third gro"), (907, "en", whole[5])]
+
+
+def test_truncation(spark):
+    df = spark.createDataFrame([(*d, 1) for d in _documents()], "doc_id long, lang string, text string, rank int")
     found = {r["doc_id"] for r in truncation.truncated(df).collect()}
-    assert found >= {901, 902, 906} and not found & set(range(0, 300)) and not found & {903, 904, 905}
+    assert found >= {900, 901, 902, 906, 907} and not found & {*range(0, 300), 903, 904, 905}
     assert truncation.truncated(df.limit(0)).count() == 0
-    assert F is not None
+
+
+def test_endings_against_brute_force(spark):
+    texts = sorted({t for _, _, t in _documents() if t and t.strip()} | {"x" * 40_000 + " the bind", "数据 可用。", "\ud83d\ude00 a"[2:]})
+    df = spark.createDataFrame([(i, i, "en", t) for i, t in enumerate(texts)], "h1 long, h2 long, lang string, text string")
+    usual = truncation.usual_words(df)
+    read = truncation.read_texts(df, usual | frozenset(w[:i] for w in usual for i in range(1, len(w))))
+    got = {r["h1"]: r["log_odds"] for r in read.join(truncation.score_endings(read), "number").collect()}
+    assert [got[i] for i in range(len(texts))] == pytest.approx(_brute(texts), abs=1e-6)
+
+
+def test_pieces_of_long_texts():
+    text = "one two\n" * 100_000
+    assert "".join(truncation.pieces(text)) == text and max(map(len, truncation.pieces(text))) <= truncation.PIECE
+    assert "".join(truncation.pieces("a" * 1_200_000)) == "a" * 1_200_000
