@@ -30,11 +30,15 @@ from pyspark.sql import functions as F
 #: Code pages as which UTF-8 is mistaken, and those mistaken for the Western one; with their cost in bits.
 CODE_PAGES = ("cp1252", "latin_1", "cp437", "cp850", "mac_roman", "cp1251", "cp1250", "iso8859_15", "cp1254", "koi8_r")
 SWAPPED = ("mac_roman", "cp437", "cp850")
-STEP_BITS, SWAP_BITS, DEPTH = 6.0, 12.0, 4
-#: Documents of each language that the dictionaries are trained on at most, their bytes, and the size of a dictionary.
+STEP_BITS, SWAP_BITS = 6.0, 12.0
+#: Bits of a note that something was lost for good.
+LOST_BITS = 18.0
+#: Documents of each language that the dictionaries are trained on at most (drawn by hash), their bytes, and the size of a dictionary.
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 600, 600_000, 16_384
-#: Longer documents are no part of the sample, which so is of bounded size.
+#: Longer documents are no part of the sample of the dictionaries, which so is of bounded size.
 SAMPLE_CHARS = 8_000
+#: Share of the documents of a language (and least number) that a usual character stands in; counted over all documents.
+USUAL_SHARE, USUAL_DOCS = 0.003, 3
 #: Bits of a character by how usual it is in good text: seen, a letter of a Latin alphabet, Greek, anything else.
 LATIN_BITS, GREEK_BITS, ODD_BITS, BROKEN_BITS = 3.0, 6.0, 24.0, 40.0
 
@@ -81,7 +85,7 @@ def _swapped(text: str, codec: str) -> str:
     def undo(m: re.Match[str]) -> str:
         c = m[0]
         inside = m.start() > 0 and text[m.start() - 1].isalpha()
-        if c not in page or c in _WITHIN or (not inside and c in _BEFORE):
+        if c not in page or c in _WITHIN or (not inside and c in _BEFORE) or (not text[m.end():m.end() + 1].isalpha() and c in _AFTER):
             return c
         if unicodedata.category(c) in ("Ll", "Lu", "Lo") and not (inside and c.isupper() and text[m.start() - 1].islower()):
             return c  # a letter in its place
@@ -94,18 +98,31 @@ def _swapped(text: str, codec: str) -> str:
     return re.sub(r"[^\x00-\x7f](?=[^\W\d_])|(?<=[^\W\d_])[^\x00-\x7f]", undo, text)
 
 
-#: Symbols that good text has inside words, and those it has right before a word.
-_WITHIN, _BEFORE = "’‘–—‐‑­​", "“‘’«„…°±µ×–—€£§≥≤√™©®‰†‡•¶¿¡"
+#: Symbols that good text has inside words, those it has right before a word, and those right after one.
+_WITHIN, _BEFORE, _AFTER = "’‘–—‐‑­​", "“‘’«„…°±µ×–—€£§≥≤√™©®‰†‡•¶¿¡", "”’»“…°™©®‰†‡"
+
+
+def _rests() -> re.Pattern[str]:
+    """What a lost character leaves: the replacement character, control characters, a UTF-8 sequence without its end (or its middle)."""
+    first = "".join(c for c, b in _page("cp1252").items() if 0xC2 <= b <= 0xF4 and c.isalpha())
+    good = set(_WITHIN + _BEFORE + _AFTER)
+    later = "".join(re.escape(c) for page in ("cp1252", "latin_1") for c, b in _page(page).items() if b <= 0xBF and c not in good and not c.isalpha())
+    return re.compile(
+        f"[\ufffd\x80-\x84\x86-\x9f]+|[{first}][{later}]+|[ÃÂâ]€|(?<=[0-9])[ÃÂâ](?![^\\W\\d_])|(?<!\\w)â(?![\\w-])|(?<!\\w)â(?=[A-Z])"
+        "|(?<=[a-z0-9])â(?=(?:t|s|re|ve|ll)\\b)|ÃÃ|Ã(?=[B-DF-HJ-NP-RTV-Z])")
+
+
+_RESTS = _rests()
 
 
 def _unescaped(text: str) -> str:
     return re.sub(r"&(?:[A-Za-z]{2,8}|#\d{2,6}|#x[0-9A-Fa-f]{2,5});", lambda m: u if (u := html.unescape(m[0])) not in "<>&\"" and ord(u[0]) > 127 else m[0], text)
 
 
-def candidates(text: str) -> dict[str, float]:
-    """Every text that undoing a chain of wrong decodings gives, with the least bits of its chain."""
+def candidates(text: str, most: float) -> dict[str, float]:
+    """Every text that undoing a chain of wrong decodings of less than ``most`` bits gives, with the least bits of its chain."""
     found, layer = {text: 0.0}, [text]
-    for _ in range(DEPTH):
+    while layer:
         fresh = []
         for t in layer:
             steps = [(_as_utf8(t, c), STEP_BITS + 0.5 * i) for i, c in enumerate(CODE_PAGES)]
@@ -113,13 +130,18 @@ def candidates(text: str) -> dict[str, float]:
             if t == text:
                 steps += [(_swapped(t, c), SWAP_BITS) for c in SWAPPED]
             for new, bits in steps:
-                if new != t and found[t] + bits < found.get(new, 1e9):
+                if new != t and found[t] + bits < found.get(new, most):
                     fresh += [new] if new not in found else []
                     found[new] = found[t] + bits
         layer = fresh
     return found
 
 
+def _unchanged(text: str) -> bool:
+    """Whether no first step changes the text, so that nothing needs to be compressed."""
+    return _unescaped(text) == text and all(_as_utf8(text, c) == text for c in CODE_PAGES) and all(_swapped(text, c) == text for c in SWAPPED)
+
+
 class Model:
     """Dictionaries and usual characters of good text by language."""
 
@@ -141,7 +163,8 @@ class Model:
         """Bits of the shortest description of a text."""
         raw = text.encode("utf-8", "surrogatepass")
         shortest = min(len(c.compress(raw)) for c in self._compressors())
-        return 8.0 * shortest + sum(self._character(text, i) for i, c in enumerate(text) if c > "\x7f")
+        rests = sum(m.end() - m.start() for m in _RESTS.finditer(text))  # where good text has no such characters
+        return 8.0 * shortest + ODD_BITS * rests + sum(self._character(text, i) for i, c in enumerate(text) if c > "\x7f")
 
     def _character(self, text: str, i: int) -> float:
         c = text[i]
@@ -162,7 +185,7 @@ class Model:
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
-    """The model of good text from a bounded, seeded sample of ``docs`` for each language."""
+    """The model of good text: dictionaries from a bounded, seeded sample of ``docs`` for each language, usual characters from all of them."""
     known = docs.select(F.lower(F.substring(lang, 1, 2)).alias("lang"), F.col(text).alias("text")).where(F.col("lang").isNotNull() & F.length("text").between(41, SAMPLE_CHARS))
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) > 64:
@@ -172,16 +195,15 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
         share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, SAMPLE_DOCS / n))])
         draw = F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
         drawn = known.where(draw < share[F.col("lang")]).select("lang", "text")
-        for r in drawn.orderBy("lang", "text").toLocalIterator():
+        for r in drawn.orderBy(F.xxhash64("text"), "text").toLocalIterator():
             samples.setdefault(r["lang"], []).append(r["text"].encode("utf-8", "ignore"))
-    dictionaries, usual = {}, {}
-    for name, texts in samples.items():
-        dictionaries[name] = _dictionary(texts)
-        for t in texts:
-            for c in set(t.decode("utf-8", "ignore")):
-                if c > "\x7f":
-                    usual[c] = usual.get(c, 0) + 1
-    return Model(dictionaries, frozenset(c for c, n in usual.items() if n >= 3))
+    dictionaries = {name: _dictionary(texts) for name, texts in samples.items()}
+    # At most as many rows as there are characters, for each language.
+    every = docs.select(F.lower(F.substring(lang, 1, 2)).alias("lang"), F.regexp_replace(text, "[\\x00-\\x7f]", "").alias("odd")).where("lang is not null")
+    sizes = every.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"))
+    seen = every.where("odd <> ''").select("lang", F.explode(F.array_distinct(F.split("odd", ""))).alias("c")).groupBy("lang", "c").agg(F.count(F.lit(1)).alias("n"))
+    seen = seen.join(F.broadcast(sizes), "lang").where((F.col("n") >= USUAL_DOCS) & (F.col("n") >= USUAL_SHARE * F.col("docs")))
+    return Model(dictionaries, frozenset(r["c"] for r in seen.select("c").distinct().collect()))
 
 
 def _dictionary(texts: list[bytes]) -> bytes:
@@ -201,19 +223,23 @@ def _dictionary(texts: list[bytes]) -> bytes:
     return b"".join(taken)[-DICTIONARY_BYTES:]  # too little to train on: the texts themselves
 
 
-#: Marks of text that was once decoded wrongly and cannot be restored.
-_BROKEN = re.compile("�|[\x80-\x84\x86-\x9f]|[ÃÂâ]€|Ã[\xa0-¿]|â[¡-¿]|[0-9][ÃÂ](?![^\\W\\d_])|[a-z0-9]â(?:t|s|re|ve|ll)\\b|[0-9]â[0-9]|(?<!\\w)â(?![\\w-])|(?<!\\w)â[A-Z]|ÃÃ|Ã[B-DF-HJ-NP-RTV-Z]")
-
-
 def repair(text: str | None, model: Model) -> tuple[bool, str | None]:
     """(affected, restored text)."""
     if not text or (text.isascii() and "&" not in text):
         return False, text
-    found = candidates(text)
-    best = text
+    best, plain = text, None
+    if _unchanged(text):
+        found = {text: 0.0}
+    else:
+        plain = model.bits(text)
+        found = candidates(text, plain)
     if len(found) > 1:
         best = min(found, key=lambda t: (found[t] + model.bits(t), found[t], t))
-    return best != text or bool(_BROKEN.search(best)), best
+    if best != text:
+        return True, best
+    # Nothing can be restored; something was lost if the text is shorter to describe without its rest.
+    without = _RESTS.sub("", text)
+    return without != text and model.bits(without) + LOST_BITS < (model.bits(text) if plain is None else plain), text
 
 
 def repair_fields(values: DataFrame, model: Model) -> DataFrame:

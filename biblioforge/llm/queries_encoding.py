@@ -10,18 +10,17 @@ from pyspark.sql import functions as F
 from biblioforge.llm.encoding import repair_fields, train
 from biblioforge.session import load
 
-FIELDS = (("articles", "title"), ("articles", "abstract"), ("article_metadata", "affiliation"))
+FIELDS = {"articles": ("title", "abstract"), "article_metadata": ("affiliation",)}
 
 
 def p5_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each affected field with its text as it is and as restored."""
     model = train(load(spark, sf_dir, "documents"))
     parts = []
-    for table, field in FIELDS:
-        values = load(spark, sf_dir, table).select(F.col("id").alias("record_key"), F.col(field).alias("value"))
-        values = values.where(F.trim("record_key") != "")
-        parts.append(repair_fields(values, model).select(
-            F.lit(table).alias("record_table"), "record_key", F.lit(field).alias("field_name"), "value", "restored"))
+    for table, fields in FIELDS.items():
+        held = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in fields])
+        values = load(spark, sf_dir, table).where(F.trim("id") != "").select(F.lit(table).alias("record_table"), F.col("id").alias("record_key"), F.inline(held))
+        parts.append(repair_fields(values, model))
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
