@@ -2,12 +2,13 @@
 
 A byte-level BPE merges only inside the words its pattern cuts a text into. So texts are
 cut into words in Spark, each distinct word is encoded once, and the ids are joined back
-to the words and put together by position.
+to the words by position: those of frequent words in place, from a broadcast part of the
+word table whose size is bounded, those of rare words through a shuffle of just these.
 
 Defined results: NULL and empty texts give an empty list; a blank text gives the ids of
 its blanks; texts of any length are taken whole; strings of special tokens are ordinary
-text; a document id occurring twice gives one row for each text it has; other columns,
-whatever their names, are ignored.
+text; a document id occurring with several texts gives one row for each of them, with the
+same text twice two rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -17,11 +18,13 @@ import os
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from biblioforge.session import cut
+from biblioforge.operators.skew import join_unique
+from biblioforge.session import cut, keep
 
 #: Folder of the public vocabularies and the default vocabulary (a rank file).
 TOKENIZER_DIR = os.environ.get("BIBLIOFORGE_TOKENIZERS", "/opt/tokenizers")
@@ -44,18 +47,35 @@ def _ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
 
 
+_sent: set[tuple[str, str]] = set()
+
+
+def send(spark: SparkSession, path: str) -> str:
+    """Send a vocabulary file to the workers, which need not have it, once for each application; gives the name they know it by."""
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _sent:
+        _sent.add(key)
+        spark.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
 @lru_cache(maxsize=4)
 def _encoding(path: str):
+    """The encoding of a vocabulary file, or of one that was sent under this name."""
     import tiktoken
+    from pyspark import SparkFiles
 
+    path = path if os.path.isabs(path) else SparkFiles.get(path)
     return tiktoken.Encoding("corpus", pat_str=PATTERN, mergeable_ranks=_ranks(path), special_tokens={})
 
 
 def word_table(occurrences: DataFrame, path: str) -> DataFrame:
     """(word, n, ids) of each distinct word, encoded once. ``n`` counts its occurrences."""
 
+    name = send(occurrences.sparkSession, path)
+
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoding = _encoding(path)
+        encoding = _encoding(name)
         for batch in batches:
             yield batch.assign(ids=[encoding.encode_ordinary(w) for w in batch["word"]])
 
@@ -87,12 +107,41 @@ def occurrences_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def encode_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """(doc_id, ids) of every document."""
-    occurrences = occurrences_of(docs, doc_id, text)
-    table = word_table(occurrences.select("word").where("word is not null"), path or f"{TOKENIZER_DIR}/{BYTE_BPE}")
-    found = with_ids(occurrences, table, F.col("ids"))
-    placed = F.when(F.col("pos").isNotNull(), F.struct("pos", "found"))
-    lists = found.groupBy("doc_id").agg(F.sort_array(F.collect_list(placed)).alias("placed"))
-    return lists.select("doc_id", F.flatten(F.transform("placed", lambda p: p["found"])).alias("ids"))
+    spark = docs.sparkSession
+    split = docs.select(F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("words"))
+    table = word_table(split.select(F.explode("words").alias("word")), path or f"{TOKENIZER_DIR}/{BYTE_BPE}")
+    size, total = table.agg(F.sum(F.octet_length("word") + 4 * F.size("ids") + 24), F.sum("n")).first()
+    whole = (size or 0) <= BROADCAST_BYTES
+    frequent = table if whole else table.where(F.col("n") > total * FREQUENT_SHARE)
+    sent = spark.sparkContext.broadcast({r["word"]: np.array(r["ids"], np.int32) for r in frequent.select("word", "ids").toLocalIterator()})
+    none = np.zeros(0, np.int32)
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = sent.value
+        for batch in batches:
+            ids, rare = [], []
+            for found in batch["words"]:
+                found = () if found is None else found
+                parts = [known.get(w) for w in found]
+                # The id -1 - i stands where the i-th rare word of the document stands.
+                missing = [i for i, p in enumerate(parts) if p is None]
+                for i, at in enumerate(missing):
+                    parts[at] = np.array([-1 - i], np.int32)
+                ids.append(np.concatenate(parts) if parts else none)
+                rare.append([found[i] for i in missing])
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": ids, "rare": rare})
+
+    kind = split.schema["doc_id"].dataType.simpleString()
+    placed = split.mapInPandas(place, f"doc_id {kind}, ids array<int>, rare array<string>")
+    if whole:
+        return placed.select("doc_id", "ids")
+    placed = keep(placed.select(F.monotonically_increasing_id().alias("row"), "*"))
+    open_ = placed.where(F.size("rare") > 0)
+    words_ = open_.select("row", F.posexplode("rare").alias("pos", "word"))
+    words_ = join_unique(words_, table.where(F.col("n") <= total * FREQUENT_SHARE).select("word", F.col("ids").alias("found")), ["word"])
+    lists = words_.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("pos", "found"))).alias("lists"))
+    filled = F.flatten(F.transform("ids", lambda i: F.when(i < 0, F.col("lists")[-1 - i]["found"]).otherwise(F.array(i))))
+    return placed.where(F.size("rare") == 0).select("doc_id", "ids").unionByName(open_.join(lists, "row").select("doc_id", filled.alias("ids")))
 
 
 def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:

@@ -60,6 +60,9 @@ def test_tokens(spark, monkeypatch):
         assert {r["doc_id"]: r["n_tokens"] for r in tokens.token_counts(df).collect()} == {i: len(v) for i, v in expected.items()}
     assert {r["doc_id"]: r["text"] for r in tokens.decode_corpus(tokens.encode_corpus(df)).collect()} == {i: t or "" for i, t in enumerate(texts)}
     assert tokens.encode_corpus(df.limit(0)).count() == 0
+    again = spark.createDataFrame([(1, "hello world"), (1, "foo bar baz"), (1, "foo bar baz"), (2, None)], "doc_id int, text string")
+    rows = sorted((r["doc_id"], r["ids"]) for r in tokens.encode_corpus(again).collect())
+    assert rows == sorted([(1, whole.encode_ordinary("hello world")), (1, whole.encode_ordinary("foo bar baz")), (1, whole.encode_ordinary("foo bar baz")), (2, [])])
 
 
 @settings(max_examples=60, deadline=None)
