@@ -109,7 +109,8 @@ def encode_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     """(doc_id, ids) of every document."""
     spark = docs.sparkSession
     split = docs.select(F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("words"))
-    table = word_table(split.select(F.explode("words").alias("word")), path or f"{TOKENIZER_DIR}/{BYTE_BPE}")
+    # An outer explode, as the inner one would split each text once more to filter it before.
+    table = word_table(split.select(F.explode_outer("words").alias("word")).where("word is not null"), path or f"{TOKENIZER_DIR}/{BYTE_BPE}")
     size, total = table.agg(F.sum(F.octet_length("word") + 4 * F.size("ids") + 24), F.sum("n")).first()
     whole = (size or 0) <= BROADCAST_BYTES
     frequent = table if whole else table.where(F.col("n") > total * FREQUENT_SHARE)
