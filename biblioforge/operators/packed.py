@@ -164,5 +164,6 @@ def split_packed(df: DataFrame, keys: list[str], cell: str, kind: str = "name")
         lambda v: v != "",
     )
     out = ruled.select(*names, values.alias("__values"))
-    out = out.select(*names, F.size("__values").alias("n_values"), F.posexplode("__values").alias("value_pos", "item_value"))
+    # An outer explode, as the inner one would cut the values out once more to filter the cells before.
+    out = out.select(*names, F.size("__values").alias("n_values"), F.posexplode_outer("__values").alias("value_pos", "item_value")).where("value_pos is not null")
     return out.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], "value_pos", "item_value", "n_values")
