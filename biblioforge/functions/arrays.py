@@ -96,42 +96,89 @@ def kept_tags(predicted: Column, true: Column, names: dict[int, str], ignored: i
     return F.transform(pairs, lambda z: lookup[z["p"]])
 
 
-def bio_tags(words: Column, names: Column, label: str) -> Column:
-    """B-, I- and O tags of the places where the words of a name stand in a row; ``names`` is array<array<string>>, blank names none."""
-    phrases = F.filter(names, lambda n: (F.size(n) > 0) & (F.get(n, F.lit(0)) != ""))
-    index = lambda i: i.cast("int")
+def bio_tags(words: Column, full: Column, common: Column) -> Column:
+    """B-, I- and O tags of the places where the words of a full (FUL) or common (COM) name stand in a row.
 
-    def begins(i: Column) -> Column:
-        return F.exists(phrases, lambda n: F.slice(words, index(i) + 1, F.size(n)) == n)
+    ``full`` and ``common`` are array<array<string>>; blank names are none. A full name that
+    holds a common one is left out. Where names overlap the one that begins later counts,
+    of those that begin together the full one.
+    """
+    there = lambda names: F.filter(names, lambda n: (F.size(n) > 0) & (F.get(n, F.lit(0)) != ""))
 
-    def inside(i: Column) -> Column:
-        return F.exists(phrases, lambda n: F.exists(F.sequence(F.lit(1), F.greatest(F.size(n) - 1, F.lit(1))), lambda k: (
-            (k < F.size(n)) & (index(i) >= k) & (F.slice(words, F.greatest(index(i) - k + 1, F.lit(1)), F.size(n)) == n))))
+    def tagged(x: Column) -> Column:
+        holds = lambda n: F.exists(x["c"], lambda c: F.array_join(n, " ").contains(F.array_join(c, " ")))
+        return let(F.struct(F.filter(x["f"], lambda n: ~holds(n)).alias("f"), x["c"].alias("c")), placed)
 
-    return F.transform(words, lambda w, i: F.when(begins(i), f"B-{label}").when(inside(i), f"I-{label}").otherwise("O"))
+    def placed(x: Column) -> Column:
+        longest = F.greatest(F.array_max(F.transform(F.concat(x["f"], x["c"]), lambda n: F.size(n))), F.lit(1))
 
+        def tag(i: Column) -> Column:
+            def earlier(found: Column, k: Column) -> Column:
+                at = (i - k).cast("int") + 1
+                here = lambda names: F.exists(names, lambda n: (F.size(n) > k) & (F.slice(words, at, F.size(n)) == n))
+                prefix = F.when(k == 0, "B-").otherwise("I-")
+                return F.coalesce(found, F.when(here(x["f"]), F.concat(prefix, F.lit("FUL"))).when(here(x["c"]), F.concat(prefix, F.lit("COM"))))
 
-def assemble_entities(tokens: Column) -> Column:
-    """array<struct<mention, label, prob>> from array<struct<word, label, prob>> with labels B-x, I-x and O.
+            return F.coalesce(F.aggregate(F.sequence(F.lit(0), F.least(i.cast("int"), longest - 1)), F.lit(None).cast("string"), earlier), F.lit("O"))
+
+        return F.transform(words, lambda w, i: tag(i))
+
+    return let(F.struct(there(full).alias("f"), there(common).alias("c")), tagged)
+
+
+def word_spans(text: Column) -> Column:
+    """array<struct<start, end>> of the words between white space; positions from 0, ends exclusive."""
+    pieces = F.regexp_extract_all(text, F.lit("\\s+|\\S+"), F.lit(0))
+    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
+
+    def step(state: Column, piece: Column) -> Column:
+        end = (state["pos"] + F.length(piece)).cast("int")
+        span = F.struct(state["pos"].alias("start"), end.alias("end"))
+        return F.struct(end.alias("pos"), F.when(piece.rlike("\\S"), F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
+
+    return F.aggregate(pieces, start, step, lambda s: s["spans"])
 
-    A B opens an entity, an I goes on with the open one or opens one, an O closes it; the
-    score is the mean over the entity's words. One-letter, over-long and address-like
-    entities are dropped.
-    """
-    entity = lambda t: F.struct(t["word"].alias("mention"), F.substring(t["label"], 3, 100).alias("label"), t["prob"].alias("prob"), F.lit(1).alias("n"))
-    empty = F.lit(None).cast("array<struct<mention:string,label:string,prob:double,n:int>>")
-    start = F.struct(F.coalesce(empty, F.array().cast("array<struct<mention:string,label:string,prob:double,n:int>>")).alias("done"), F.lit(False).alias("open"))
 
-    def step(state: Column, t: Column) -> Column:
+def softmax_label(logits: Column, names: list[str]) -> Column:
+    """struct<label, prob> of the largest of an array of logits (the first of equals), with its share of the exponentials."""
+    def chosen(x: Column) -> Column:
+        most = F.array_max(x)
+        total = F.aggregate(x, F.lit(0.0), lambda t, v: t + F.exp(v - most))
+        return F.struct(F.get(F.array(*map(F.lit, names)), (F.array_position(x, most) - 1).cast("int")).alias("label"), (1 / total).alias("prob"))
+
+    return let(logits, chosen)
+
+
+def assemble_entities(text: Column, spans: Column, word_ids: Column, labels: Column, probs: Column) -> Column:
+    """array<struct<mention, label, prob>> from the labels (B-x, I-x, O) and scores of the sub-tokens of a text's words.
+
+    ``spans``: array<struct<start, end>> of the words; ``word_ids``, ``labels``, ``probs``:
+    the word, label and score of each sub-token. A word with a B opens an entity, else one
+    with an I goes on with the open one or opens one, any other closes it. An entity is the
+    text of its words with the sign after each; its score is the mean over its sub-tokens.
+    One-letter, over-long and address-like entities are dropped.
+    """
+    tokens = F.arrays_zip(word_ids.alias("w"), labels.alias("l"), probs.alias("p"))
+    kind = "struct<mention:string,label:string,total:double,n:int>"
+
+    def word(span: Column, i: Column) -> Column:
+        own = F.filter(tokens, lambda t: t["w"] == i)
+        touches = (i > 0) & (F.get(spans, F.greatest(i - 1, F.lit(0)))["end"] == span["start"])
+        begin = span["start"] + F.when(touches, 1).otherwise(0)
+        part = F.substring(text, begin + 1, F.greatest(span["end"] + 1 - begin, F.lit(0)))
+        first = lambda letter: F.get(F.filter(own, lambda t: t["l"].startswith(letter)), F.lit(0))["l"]
+        label = F.coalesce(first("B"), F.when(part != " ", first("I")))
+        return F.struct(part.alias("mention"), label.alias("label"), F.aggregate(own, F.lit(0.0), lambda a, t: a + t["p"]).alias("total"), F.size(own).alias("n"))
+
+    def step(state: Column, w: Column) -> Column:
         last = F.element_at(state["done"], -1)
-        grown = F.struct(
-            F.concat(last["mention"], F.lit(" "), t["word"]).alias("mention"), last["label"].alias("label"),
-            ((last["prob"] * last["n"] + t["prob"]) / (last["n"] + 1)).alias("prob"), (last["n"] + 1).alias("n"))
+        grown = F.struct(F.concat(last["mention"], w["mention"]).alias("mention"), last["label"].alias("label"), (last["total"] + w["total"]).alias("total"), (last["n"] + w["n"]).alias("n"))
         before = F.slice(state["done"], 1, F.greatest(F.size(state["done"]) - 1, F.lit(0)))
-        goes_on = t["label"].startswith("I-") & state["open"]
-        done = F.when(t["label"] == "O", state["done"]).when(goes_on, F.concat(before, F.array(grown))).otherwise(F.concat(state["done"], F.array(entity(t))))
-        return F.struct(done.alias("done"), (t["label"] != "O").alias("open"))
-
-    found = F.aggregate(tokens, start, step, lambda s: s["done"])
-    kept = F.filter(found, lambda e: (F.length(e["mention"]) > 1) & (F.length(e["mention"]) <= 100) & ~e["mention"].contains("http"))
-    return F.transform(kept, lambda e: F.struct(e["mention"].alias("mention"), e["label"].alias("label"), e["prob"].alias("prob")))
+        goes_on = w["label"].startswith("I") & state["open"]
+        done = F.when(w["label"].isNull(), state["done"]).when(goes_on, F.concat(before, F.array(grown))).otherwise(F.concat(state["done"], F.array(w)))
+        return F.struct(done.alias("done"), w["label"].isNotNull().alias("open"))
+
+    start = F.struct(F.array().cast(f"array<{kind}>").alias("done"), F.lit(False).alias("open"))
+    found = F.aggregate(F.transform(spans, word), start, step, lambda s: s["done"])
+    stripped = F.transform(found, lambda e: F.struct(F.regexp_replace(e["mention"], "^\\s+|\\s+$", "").alias("mention"), e["label"].alias("label"), (e["total"] / e["n"]).alias("prob")))
+    return F.filter(stripped, lambda e: (F.length(e["mention"]) != 1) & (F.length(e["mention"]) <= 100) & ~e["mention"].contains("http"))

@@ -43,10 +43,14 @@ def trim_punctuation(text: Column, keep: str = "") -> Column:
     return F.btrim(text, F.lit("".join(c for c in PUNCTUATION if c not in keep)))
 
 
+#: Fixed value: signs that an address may hold besides letters, digits and the underscore; neither # nor ~ is among them.
+URL_SIGNS = "@.,:;!?&+*=$%/\\^'<>()[]-"
+
+
 def url_list(text: Column) -> Column:
     """The different addresses in a text, in order, as an array."""
-    # The class takes every character from $ to _ and so digits, capitals and most signs; # and ~ are not in it.
-    found = F.regexp_extract_all(text, F.lit(r"(?U)https?://[\w\x24-\x5F@.&+!*(),]+"), F.lit(0))
+    signs = "".join("\\" + c for c in URL_SIGNS)
+    found = F.regexp_extract_all(text, F.lit(rf"(?U)https?://[\w{signs}]+"), F.lit(0))
     return F.array_distinct(F.transform(found, lambda u: trim_punctuation(u, keep="/")))
 
 
@@ -99,13 +103,15 @@ def significant(x: Column, digits: int = 3) -> Column:
     return F.when(x == 0, x).otherwise(F.round(x * scale) / scale)
 
 
-def words_padded(text: Column) -> Column:
-    """Letters alone, words apart by two blanks and a blank at both ends, so that phrases can be counted as plain text."""
-    words = F.trim(F.regexp_replace(text, "[^\\p{L}]+", " "))
-    return F.concat(F.lit(" "), F.replace(words, F.lit(" "), F.lit("  ")), F.lit(" "))
+def plain_words(text: Column) -> Column:
+    """The words of a text, of letters, digits and underscores, as an array."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), "[^\\p{L}\\p{N}_]+"), lambda w: w != "")
+
 
+def phrases(words: Column, longest: int) -> Column:
+    """All runs of one to ``longest`` words in a row, as an array; each as often as it stands there."""
+    def of(n: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: i <= F.size(words) - n + 1)
+        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
 
-def count_phrase(padded: Column, phrase: Column) -> Column:
-    """How often a phrase of whole words occurs in padded text."""
-    wanted = words_padded(phrase)
-    return ((F.length(padded) - F.length(F.replace(padded, wanted, F.lit("")))) / F.length(wanted)).cast("int")
+    return F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), of))

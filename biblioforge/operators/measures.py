@@ -62,5 +62,12 @@ def metrics_long(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFram
 
 
 def value_order(df: DataFrame, value: str, column: str = "position") -> DataFrame:
-    """With the dense rank of a value, for ordered display of a few groups."""
-    return df.withColumn(column, F.dense_rank().over(Window.orderBy(value)))
+    """With the dense rank of a value, for ordered display of a few groups; only the different values are ordered in one place."""
+    ranks = df.select(value).distinct().withColumn(column, F.row_number().over(Window.orderBy(value)).cast("int"))
+    return df.join(ranks.select(F.col(value).alias("__value"), column), F.col(value).eqNullSafe(F.col("__value"))).drop("__value")
+
+
+def beside(validation: DataFrame, test: DataFrame, key: str, metrics: list[str]) -> DataFrame:
+    """The measures of two data sets of each model of both, as columns val_ and test_."""
+    named = lambda df, prefix: df.select(key, *[F.col(m).alias(f"{prefix}_{m}") for m in metrics])
+    return named(validation, "val").join(named(test, "test"), key)

@@ -83,3 +83,13 @@ def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     chosen = df.groupBy(*keys).agg(F.max_by(row, F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])).alias("__row"))
     return chosen.select("__row.*")
+
+
+def of_class(df: DataFrame, column: str, value: str) -> DataFrame:
+    """The rows of one class, without the column that tells it."""
+    return df.where(F.col(column) == value).drop(column)
+
+
+def random_subset(df: DataFrame, key: str, k: int, seed: int) -> DataFrame:
+    """``k`` rows drawn by a hash of key and seed, the same ones each time."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(k)

@@ -48,6 +48,12 @@ def violations(df: DataFrame, id_col: str) -> DataFrame:
     return found.where("problem is not null")
 
 
+def note_violations(df: DataFrame, id_col: str) -> DataFrame:
+    """(id, note) of records to be merged with some others only whose note is no list of ids."""
+    note = F.trim(F.coalesce(F.col("review_notes_dup_names"), F.lit("")))
+    return df.where((F.trim("review_dup_names") == "merge only:") & ~note.rlike("^[0-9]+(\\s*,\\s*[0-9]+)*$")).select(id_col, note.alias("note"))
+
+
 def mixed_instructions(df: DataFrame, id_col: str, group: str, answer: str) -> DataFrame:
     """Groups in which not all instructions are the same."""
     said = df.where(F.coalesce(F.col(group), F.lit("")) != "").select(group, F.explode(F.split(F.col(answer), ", ")).alias("said")).where("said <> ''")

@@ -7,25 +7,67 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from biblioforge.functions import arrays, text
-from biblioforge.operators import measures, merge, relational
+from biblioforge.operators import measures, merge, relational, review
 from biblioforge.operators.packed import split_packed
-from biblioforge.session import load
+from biblioforge.session import cut, load
 
 SEED, FRACTIONS = 241, (0.7, 0.15, 0.15)
 
 
-def country_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Countries named in affiliations, in the order of the list and as often as named.
+def mentioned_countries(rows: DataFrame, key: str, cell: str, countries: DataFrame, code: str) -> DataFrame:
+    """(key, countries): the countries that a text names or whose three-letter code it holds, as often as it does, in the order of the list.
 
-    The list is fixed, so its names are literals of one expression and no join is made.
+    ``code`` is the column of the list to show (codes of two or three letters, numbers or
+    names). Each run of words of a text is looked up in the broadcast list of some hundred
+    spellings, so a text is read once, however many countries there are.
     """
-    names = load(spark, sf_dir, "ref_countries").select("country_3", text.words_padded(F.col("country_name")).alias("padded")).orderBy("country_3").collect()
-    rows = relational.keep_first(relational.drop_blank(load(spark, sf_dir, "article_metadata"), "id"), ["id"], [F.col("received_at")])
-    rows = rows.select("id", text.words_padded(F.coalesce("affiliation", F.lit(""))).alias("padded"))
-    listed = F.array(*[F.struct(F.lit(r["country_3"]).alias("code"), F.lit(r["padded"]).alias("name")) for r in names])
-    times = lambda n: ((F.length("padded") - F.length(F.replace("padded", n["name"], F.lit("")))) / F.length(n["name"])).cast("int")
-    named = F.flatten(F.transform(listed, lambda n: F.array_repeat(n["code"], times(n))))
-    return rows.select("id", F.array_join(named, ", ").alias("countries")).where("countries <> ''")
+    spelled = countries.select(F.col("country_3").alias("place"), F.col(code).alias("code"), F.explode(F.array("country_name", "country_3")).alias("name"))
+    spelled = spelled.select("place", "code", text.plain_words(F.col("name")).alias("words")).where(F.size("words") > 0).distinct()
+    longest = spelled.agg(F.max(F.size("words"))).first()[0] or 1
+    spelled = spelled.select("place", "code", F.array_join("words", " ").alias("phrase"))
+    runs = rows.select(key, text.plain_words(F.col(cell)).alias("words")).select(key, F.explode_outer(text.phrases(F.col("words"), longest)).alias("phrase"))
+    found = runs.join(F.broadcast(spelled), "phrase").groupBy(key, "place", "code").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    lists = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", "code", "n"))).alias("found"))
+    return lists.select(key, F.array_join(F.flatten(F.transform("found", lambda f: F.array_repeat(f["code"], f["n"]))), ", ").alias("countries"))
+
+
+def _countries_named(spark: SparkSession, sf_dir: str, code: str) -> DataFrame:
+    rows = relational.keep_first(relational.drop_blank(load(spark, sf_dir, "article_metadata"), "id").select("id", "affiliation", "received_at"), ["id"], [F.col("received_at")])
+    return mentioned_countries(rows, "id", "affiliation", load(spark, sf_dir, "ref_countries"), code)
+
+
+def country_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three-letter codes of the countries named in affiliations."""
+    return _countries_named(spark, sf_dir, "country_3")
+
+
+def country_names_mentioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of the countries named in affiliations."""
+    return _countries_named(spark, sf_dir, "country_name")
+
+
+def disciplinary_repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registry records of one class."""
+    return relational.of_class(load(spark, sf_dir, "re3data_repositories").select("re3data_id", "repositoryname", "repository_type"), "repository_type", "disciplinary")
+
+
+def article_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hundred articles drawn at random."""
+    return relational.random_subset(relational.drop_blank(load(spark, sf_dir, "articles"), "id").select("id").distinct(), "id", 100, SEED)
+
+
+def note_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Review records whose duplicates are to be merged and are not given as a list of ids."""
+    rows = load(spark, sf_dir, "review_records").where(F.trim("duplicate_names") != "").select(
+        "resource_num", F.lit("merge only:").alias("review_dup_names"), F.col("duplicate_names").alias("review_notes_dup_names")).distinct()
+    return review.note_violations(rows, "resource_num")
+
+
+def validation_and_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best epoch of each model beside its measures over all epochs."""
+    best = measures.best_rows(_stats(spark, sf_dir), ["model"], "val_f1", [F.col("epoch")]).select("model", F.col("val_f1").alias("f1"), F.col("val_loss").alias("loss"))
+    test = _stats(spark, sf_dir).groupBy("model").agg(F.max("train_f1").alias("f1"), F.min("val_loss").alias("loss"))
+    return measures.beside(best, test, "model", ["f1", "loss"])
 
 
 def mentions_per_country(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,9 +122,10 @@ def funder_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def funded_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many articles have a funder; the most and the mean number of articles of a funder."""
-    per = _agencies(spark, sf_dir).groupBy("agency").agg(F.countDistinct("id").alias("n"))
+    agencies = cut(_agencies(spark, sf_dir))
+    per = agencies.groupBy("agency").agg(F.countDistinct("id").alias("n"))
     stats = per.agg(F.max("n").alias("most_articles"), F.round(F.avg("n"), 9).alias("mean_articles"), F.count(F.lit(1)).alias("n_agencies"))
-    return stats.crossJoin(_agencies(spark, sf_dir).agg(F.countDistinct("id").alias("n_funded")))
+    return stats.crossJoin(agencies.agg(F.countDistinct("id").alias("n_funded")))
 
 
 def country_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,22 +269,26 @@ def sentence_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "documents").where(F.col("text").rlike(r"\S"))
     split = rows.select("doc_id", F.posexplode(arrays.sentence_list(F.col("text"))).alias("sent_idx", "sentence"))
     words = arrays.word_list(F.col("sentence"))
-    return split.select("doc_id", "sent_idx", F.transform(words, lambda w, i: i).alias("word_idx"), words.alias("words"))
+    return split.select("doc_id", "sent_idx", F.array_join(F.transform(words, lambda w, i: i.cast("string")), ",").alias("word_idx"), F.array_join(words, " ").alias("words"))
 
 
 QUERIES = {f.__name__: f for f in (
-    country_mentions, mentions_per_country, hosts_by_country, coordinates, status_kinds, status_shares, funder_summary, funded_articles, country_rollup, venn_counts,
+    country_mentions, country_names_mentioned, disciplinary_repositories, article_subset, note_violations, validation_and_test, mentions_per_country, hosts_by_country, coordinates, status_kinds, status_shares, funder_summary, funded_articles, country_rollup, venn_counts,
     registry_overlap, life_repositories, split_articles, chunked_articles, prediction_quality, entity_quality, best_epochs, best_model, metrics_by_dataset, us_dates,
     event_properties, resources_per_article, named_predictions, answering_hosts, funders_by_country, sentence_tokens)}
 
-_PADDED = "' ' || replace(trim(regexp_replace({0}, '[^\\p{{L}}]+', ' ', 'g')), ' ', '  ') || ' '"
+_PADDED = "' ' || replace(trim(regexp_replace({0}, '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')), ' ', '  ') || ' '"
 _MENTIONS = f"""
 WITH meta AS (
   SELECT id, {_PADDED.format("coalesce(affiliation, '')")} AS p FROM article_metadata WHERE coalesce(id, '') <> ''
   QUALIFY row_number() OVER (PARTITION BY id ORDER BY received_at) = 1
-), names AS (SELECT country_3, {_PADDED.format("country_name")} AS w FROM ref_countries), counted AS (
-  SELECT id, country_3, ((length(p) - length(replace(p, w, ''))) / length(w))::INT AS n FROM meta, names WHERE contains(p, w)
+), names AS (
+  SELECT country_3, country_name, {_PADDED.format("country_name")} AS w FROM ref_countries UNION SELECT country_3, country_name, {_PADDED.format("country_3")} FROM ref_countries
+), counted AS (
+  SELECT id, country_3, country_name, sum(((length(p) - length(replace(p, w, ''))) / length(w))::INT)::INT AS n FROM meta, names WHERE contains(p, w) GROUP BY ALL
 )"""
+_TRIM = "regexp_replace({0}, '^ +| +$', '', 'g')"
+_WS = "[ \\t\\n\\x0B\\f\\r]+"
 _HOST = "regexp_replace(regexp_replace(url, 'https?://', '', 'g'), '(?s)/.*', '')"
 _KINDS = f"""
 WITH kinds AS (
@@ -270,6 +317,21 @@ WITH inv AS (
 )"""
 
 SQL: dict[str, str] = {
+    "country_names_mentioned": _MENTIONS + " SELECT id, string_agg(array_to_string(list_resize([]::VARCHAR[], n, country_name), ', '), ', ' ORDER BY country_3) AS countries FROM counted GROUP BY id",
+    "disciplinary_repositories": "SELECT re3data_id, repositoryname FROM re3data_repositories WHERE repository_type = 'disciplinary'",
+    "article_subset": f"SELECT id FROM (SELECT DISTINCT id FROM articles WHERE coalesce(id, '') <> '') ORDER BY md5('{SEED}:' || id), id LIMIT 100",
+    "note_violations": """
+SELECT DISTINCT resource_num, trim(duplicate_names) AS note FROM review_records
+WHERE trim(duplicate_names) <> '' AND NOT regexp_matches(trim(duplicate_names), '^[0-9]+([ \\t\\n\\x0B\\f\\r]*,[ \\t\\n\\x0B\\f\\r]*[0-9]+)*$')""",
+    "validation_and_test": _STATS + """, test AS (SELECT model, max(train_f1) AS f1, min(val_loss) AS loss FROM stats GROUP BY 1)
+SELECT best.model, val_f1, best.val_loss, test.f1 AS test_f1, test.loss AS test_loss FROM best JOIN test ON best.model = test.model""",
+    "sentence_tokens": f"""
+WITH split AS (
+  SELECT doc_id, string_split(regexp_replace({_TRIM.format('text')}, '([.?!]){_WS}', '\\1' || chr(1), 'g'), chr(1)) AS s FROM documents WHERE regexp_matches(text, '[^ \\t\\n\\x0B\\f\\r]')
+), one AS (
+  SELECT doc_id, sent_idx, string_split_regex({_TRIM.format('sentence')}, '{_WS}') AS w FROM (SELECT doc_id, unnest(range(0, len(s)))::INT AS sent_idx, unnest(s) AS sentence FROM split)
+)
+SELECT doc_id, sent_idx, array_to_string(range(0, len(w)), ',') AS word_idx, array_to_string(w, ' ') AS words FROM one""",
     "country_mentions": _MENTIONS + " SELECT id, string_agg(array_to_string(list_resize([]::VARCHAR[], n, country_3), ', '), ', ' ORDER BY country_3) AS countries FROM counted GROUP BY id",
     "mentions_per_country": _MENTIONS + " SELECT country_3, sum(n)::BIGINT AS n_mentions, count(*) AS n_articles FROM counted GROUP BY 1",
     "hosts_by_country": """

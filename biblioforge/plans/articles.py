@@ -97,30 +97,46 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.select("doc_id", "sent_idx", F.size(arrays.word_list(F.col("sentence"))).alias("n_words"))
 
 
+def sentence_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of each sentence of each document, one a row, with their places."""
+    rows = load(spark, sf_dir, "documents").where(F.col("text").rlike(r"\S"))
+    split = rows.select("doc_id", F.posexplode_outer(arrays.sentence_list(F.col("text"))).alias("sent_idx", "sentence"))
+    return split.select("doc_id", "sent_idx", F.posexplode_outer(arrays.word_list(F.col("sentence"))).alias("word_idx", "word"))
+
+
 def tagged_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many words of each document begin and go on a mention of its resource."""
+    """How many words of each document begin and go on a mention of its resource or one of two phrases, one of which holds the resource's name."""
     rows = load(spark, sf_dir, "documents").where(F.col("text").rlike(r"\S") & (F.coalesce("resource_name", F.lit("")) != ""))
     words = F.transform(arrays.word_list(F.col("text")), lambda w: text.trim_punctuation(w))
-    tags = arrays.bio_tags(F.col("words"), F.array(arrays.word_list(F.col("resource_name"))), "COM")
+    name = arrays.word_list(F.col("resource_name"))
+    phrase = F.array(*map(F.lit, ("Data", "are", "available")))
+    tags = arrays.bio_tags(F.col("words"), F.array(phrase, F.concat(name, F.array(F.lit("provides")))), F.array(name))
     tagged = rows.select("doc_id", "resource_name", words.alias("words")).select("doc_id", tags.alias("tags"))
     count = lambda tag: F.size(F.filter("tags", lambda t: t == tag))
-    return tagged.select("doc_id", F.size("tags").alias("n_words"), count("B-COM").alias("n_begin"), count("I-COM").alias("n_inside"))
+    return tagged.select("doc_id", F.size("tags").alias("n_words"), count("B-COM").alias("begin_com"), count("I-COM").alias("inside_com"),
+                         count("B-FUL").alias("begin_ful"), count("I-FUL").alias("inside_ful"))
 
 
 def assembled_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of mentions with their scores put together again as entities."""
-    rows = relational.drop_blank(load(spark, sf_dir, "entities"), "mention")
-    words = F.transform(arrays.word_list(F.col("mention")), lambda w, i: F.struct(
-        w.alias("word"), F.concat(F.when(i == 0, "B-").otherwise("I-"), F.col("label")).alias("label"), F.col("prob").alias("prob")))
-    found = rows.select("mention_id", arrays.assemble_entities(words).alias("e"))
-    return found.select("mention_id", F.inline("e")).select("mention_id", "mention", "label", F.round("prob", 9).alias("prob"))
+    """Mentions put together again from labels and scores of sub-tokens of up to four letters."""
+    rows = load(spark, sf_dir, "entities").where(F.col("mention").rlike(r"\S") & F.col("label").isNotNull() & F.col("prob").isNotNull())
+    rows = rows.select("mention_id", "mention", "label", "prob", arrays.word_spans(F.col("mention")).alias("spans"))
+    ids = F.flatten(F.transform("spans", lambda s, i: F.array_repeat(i.cast("int"), F.ceil((s["end"] - s["start"]) / 4).cast("int"))))
+    rows = rows.withColumn("ids", ids)
+    labels = F.transform("ids", lambda w, i: F.concat(F.when(i == 0, "B-").otherwise("I-"), F.col("label")))
+    probs = F.transform("ids", lambda w, i: F.col("prob") - 0.001 * i)
+    found = rows.select("mention_id", arrays.assemble_entities(F.col("mention"), F.col("spans"), F.col("ids"), labels, probs).alias("e"))
+    return found.select("mention_id", F.inline("e")).select("mention_id", "mention", "label", F.round("prob", 6).alias("prob"))
 
 
 QUERIES = {f.__name__: f for f in (
     articles_clean, url_lists, clean_urls, inventory_urls, selected_names, merged_duplicates, with_previous, mentions_deduplicated,
-    mentions_wide, name_sets, sentences, tagged_words, assembled_entities)}
+    mentions_wide, name_sets, sentences, sentence_words, tagged_words, assembled_entities)}
 
 _PUNCT = r"""!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~"""
+_SIGNS = "".join("\\" + c for c in text.URL_SIGNS).replace("'", "''")
+_TRIM = "regexp_replace({0}, '^ +| +$', '', 'g')"
+_WS = "[ \\t\\n\\x0B\\f\\r]+"
 _W = r"[\p{L}\p{M}\p{N}_]"
 _CLEAN = (
     "replace(rtrim(lower(regexp_extract({0}, '^(?:[^/]|/{{2,}})*')) || substr({0}, length(regexp_extract({0}, '^(?:[^/]|/{{2,}})*')) + 1), '/'), 'https', 'http')"
@@ -133,7 +149,34 @@ def _markup(c: str) -> str:
     return f"replace(regexp_replace({glued}, '<{_W[:-1]}/]+>', '', 'g'), chr(10), '')"
 
 
+_SENTENCES = f"""
+WITH split AS (
+  SELECT doc_id, string_split(regexp_replace({_TRIM.format('text')}, '([.?!]){_WS}', '\\1' || chr(1), 'g'), chr(1)) AS s FROM documents WHERE regexp_matches(text, '[^ \\t\\n\\x0B\\f\\r]')
+), one AS (
+  SELECT doc_id, sent_idx, string_split_regex({_TRIM.format('sentence')}, '{_WS}') AS words FROM (SELECT doc_id, unnest(range(0, len(s)))::INT AS sent_idx, unnest(s) AS sentence FROM split)
+)"""
+
 SQL: dict[str, str] = {
+    "sentences": _SENTENCES + " SELECT doc_id, sent_idx, len(words)::INT AS n_words FROM one",
+    "sentence_words": _SENTENCES + " SELECT doc_id, sent_idx, unnest(range(0, len(words)))::INT AS word_idx, unnest(words) AS word FROM one",
+    "tagged_words": f"""
+WITH d AS (
+  SELECT doc_id, string_split_regex({_TRIM.format('resource_name')}, '{_WS}') AS n, ['Data', 'are', 'available'] AS p,
+         list_transform(string_split_regex({_TRIM.format('text')}, '{_WS}'), lambda w: trim(w, '{_PUNCT}')) AS w
+  FROM documents WHERE regexp_matches(text, '[^ \\t\\n\\x0B\\f\\r]') AND coalesce(resource_name, '') <> ''
+), found AS (
+  SELECT doc_id, len(w) AS n_words, len(n) AS n_long, len(list_filter(range(1, len(w) + 1), lambda i: w[i:i + len(n) - 1] = n)) AS c,
+         len(list_filter(range(1, len(w) + 1), lambda i: w[i:i + 2] = p)) AS f FROM d
+)
+SELECT doc_id, n_words::INT AS n_words, c::INT AS begin_com, (c * (n_long - 1))::INT AS inside_com, f::INT AS begin_ful, (2 * f)::INT AS inside_ful FROM found""",
+    "assembled_entities": f"""
+WITH rows AS (
+  SELECT mention_id, label, prob, list_sum(list_transform(regexp_extract_all(mention, '[^ \\t\\n\\x0B\\f\\r]+'), lambda w: ceil(length(w) / 4.0))) AS n,
+         regexp_replace(regexp_replace(mention, '([ \\t\\n\\x0B\\f\\r]){_WS}', '\\1', 'g'), '^{_WS}|{_WS}$', '', 'g') AS m
+  FROM entities WHERE regexp_matches(mention, '[^ \\t\\n\\x0B\\f\\r]') AND label IS NOT NULL AND prob IS NOT NULL
+)
+SELECT mention_id, m AS mention, 'B-' || label AS label, round(prob - 0.001 * (n - 1) / 2, 6) AS prob FROM rows
+WHERE length(m) <> 1 AND length(m) <= 100 AND NOT contains(m, 'http')""",
     "articles_clean": f"""
 WITH first AS (
   SELECT id, coalesce(title, '') AS title, coalesce(abstract, '') AS abstract FROM articles WHERE coalesce(id, '') <> ''
@@ -142,7 +185,7 @@ WITH first AS (
 SELECT id, CASE WHEN t = '' OR right(t, 1) IN ('.', '?', '!') THEN t ELSE t || '.' END || ' ' || a AS title_abstract FROM clean""",
     "url_lists": f"""
 WITH found AS (
-  SELECT prediction_id, list_transform(regexp_extract_all(coalesce(text, ''), 'https?://[\\p{{L}}\\p{{M}}\\p{{N}}_\\x24-\\x5F@.&+!*(),]+'),
+  SELECT prediction_id, list_transform(regexp_extract_all(coalesce(text, ''), 'https?://[\\p{{L}}\\p{{M}}\\p{{N}}_{_SIGNS}]+'),
          lambda u: trim(u, '{_PUNCT.replace('/', '')}')) AS l FROM predictions
 ), different AS (SELECT prediction_id, list_filter(l, lambda x, i: list_position(l, x) = i) AS urls FROM found)
 SELECT prediction_id, array_to_string(urls, ', ') AS extracted_url, len(urls)::INT AS n_urls FROM different WHERE len(urls) BETWEEN 1 AND 2""",

@@ -72,3 +72,19 @@ def read_registry(documents: DataFrame, id_col: str, xml: str) -> DataFrame:
     """(id, repositoryname, repositoryurl, subject, repository_type) of registry documents."""
     names = {"repositoryname": "repositoryName", "repositoryurl": "repositoryURL", "subject": "subject", "repository_type": "type"}
     return documents.select(F.col(id_col), *[xml_values(F.col(xml), e).alias(c) for c, e in names.items()])
+
+
+def read_keyed_config(spark: SparkSession, path: str, key: str) -> dict[str, dict[str, str]]:
+    """A small tab-separated configuration file as a mapping of its key column; a repeated key is an error."""
+    rows = spark.read.options(header=True, sep="\t").csv(path).collect()
+    found = {r[key]: r.asDict() for r in rows}
+    if len(found) != len(rows):
+        raise ValueError(f"{key} repeats in {path}")
+    return found
+
+
+def write_one_row(df: DataFrame, path: str) -> None:
+    """A frame of exactly one row, such as the measures of a model, as one delimited file in a folder."""
+    if df.limit(2).count() != 1:
+        raise ValueError("not one row")
+    write_text_csv(df.coalesce(1), path, "overwrite")

@@ -6,13 +6,14 @@ workers, in batches of distinct keys, and may be retried, so calls have to be id
 
 from __future__ import annotations
 
+import json
 import re
 import time
 from collections.abc import Callable, Iterator
 from datetime import date
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -21,6 +22,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 ANSWER = T.StructType([
     T.StructField("pmid", T.StringType()),
     T.StructField("citedByCount", T.IntegerType()),
+    T.StructField("isOpenAccess", T.StringType()),
+    T.StructField("hasTextMinedTerms", T.StringType()),
+    T.StructField("hasTMAccessionNumbers", T.StringType()),
+    T.StructField("license", T.StringType()),
     T.StructField("authorList", T.StructType([T.StructField("author", T.ArrayType(T.StructType([
         T.StructField("fullName", T.StringType()), T.StructField("affiliation", T.StringType())])))])),
     T.StructField("grantsList", T.StructType([T.StructField("grant", T.ArrayType(T.StructType([
@@ -129,8 +134,50 @@ def funder_rows(answers: DataFrame, answer: str = "answer") -> DataFrame:
     return rows.select(F.col("r.pmid").alias("id"), F.explode_outer("r.grantsList.grant").alias("g")).select("id", F.col("g.agency").alias("agency"))
 
 
-def check_urls(urls: DataFrame, url_col: str, probe: Callable[[str], int | str], locate: Callable[[str], tuple[str, str]]) -> DataFrame:
-    """(url, status, country, coordinates) of distinct addresses; only those that answer below 400 are located."""
+def article_flags(answers: DataFrame, answer: str = "answer") -> DataFrame:
+    """(id, open_access, text_mined_terms, accession_numbers, license) of JSON answers: flags true or false, NULL where nothing is said."""
+    rows = answers.select(F.from_json(answer, ANSWER).alias("r"))
+    flag = lambda field: F.when(F.col(f"r.{field}") == "Y", True).when(F.col(f"r.{field}") == "N", False)
+    return rows.select(F.col("r.pmid").alias("id"), flag("isOpenAccess").alias("open_access"), flag("hasTextMinedTerms").alias("text_mined_terms"),
+                       flag("hasTMAccessionNumbers").alias("accession_numbers"), F.col("r.license").alias("license"))
+
+
+def flags_of_resources(articles: DataFrame, flags: DataFrame, resource: str) -> DataFrame:
+    """For each resource whether all, none or some (NULL if it is not known) of its articles have each flag. ``articles``: resource, id."""
+    names = [c for c in flags.columns if c not in ("id", "license")]
+    kind = lambda c: F.when(F.min(c).isNull(), None).when(F.min(c) == F.max(c), F.when(F.min(c), "all").otherwise("none")).otherwise("some")
+    return articles.join(flags, "id", "left").groupBy(resource).agg(*[kind(c).alias(c) for c in names])
+
+
+def registry_pages(spark: SparkSession, login: Callable[[], str], fetch: Callable[[str, int], list[dict]], pages: int) -> DataFrame:
+    """(page, record): JSON records of a registry that wants a login; the token is asked for once, pages are fetched side by side."""
+    token = login()
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for page in batch["page"]:
+                yield pd.DataFrame({"page": page, "record": [json.dumps(r) for r in with_retry(fetch)(token, int(page))]})
+
+    return spark.range(1, pages + 1).withColumnRenamed("id", "page").mapInPandas(read, "page long, record string")
+
+
+def located_by(*services: Callable[[str], tuple[str, str]]) -> Callable[[str], tuple[str, str]]:
+    """A service that takes the country and the coordinates each from the first of the services that has it."""
+    def locate(url: str) -> tuple[str, str]:
+        country = coordinates = ""
+        for service in services:
+            if not (country and coordinates):
+                c, p = service(url)
+                country, coordinates = country or c or "", coordinates or p or ""
+        return country, coordinates
+
+    return locate
+
+
+def check_urls(urls: DataFrame, url_col: str, probe: Callable[[str], int | str], locate: Callable[[str], tuple[str, str]], tries: int = 3, backoff: float = 0.5) -> DataFrame:
+    """(url, status, country, coordinates) of distinct addresses, each probed up to ``tries`` times; only those that answer below 400 are located."""
+    probe = with_retry(probe, tries, backoff)
+
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
@@ -147,12 +194,6 @@ def check_urls(urls: DataFrame, url_col: str, probe: Callable[[str], int | str],
     return distinct.mapInPandas(check, "url string, status string, country string, coordinates string")
 
 
-def merged_location(first: Column, second: Column) -> Column:
-    """Country and coordinates of two services, each from the first that has it."""
-    pick = lambda f: F.when(F.coalesce(first[f], F.lit("")) != "", first[f]).otherwise(F.coalesce(second[f], F.lit("")))
-    return F.struct(pick("country").alias("country"), pick("coordinates").alias("coordinates"))
-
-
 def find_snapshots(urls: DataFrame, url_col: str, ask: Callable[[str], tuple[int, str | None]]) -> DataFrame:
     """(url, wayback_url): a snapshot, ``no_wayback``, or a note that the archive is down."""
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

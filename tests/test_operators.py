@@ -76,6 +76,17 @@ def test_measures(spark):
     assert measures.best_rows(e, ["model"], "f1", [F.col("epoch")]).first()["epoch"] == 2
 
 
+def test_small_operators(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (4, "b")], "k int, c string")
+    assert rows(relational.of_class(df, "c", "b")) == [(2,), (4,)]
+    assert relational.random_subset(df, "k", 2, 5).count() == 2 and rows(relational.random_subset(df, "k", 9, 5)) == rows(df)
+    assert [r["position"] for r in measures.value_order(df, "c").orderBy("k").collect()] == [2, 3, 1, 3]
+    notes = spark.createDataFrame([(1, "merge only:", "12, 34"), (2, "merge only:", "12; x"), (3, "merge only:", None), (4, "do not merge", "x")], "id int, review_dup_names string, review_notes_dup_names string")
+    assert rows(review.note_violations(notes, "id")) == [(2, "12; x"), (3, "")]
+    m = spark.createDataFrame([("a", 0.5), ("b", 0.6)], "model string, f1 double")
+    assert rows(measures.beside(m, m.where("model = 'a'"), "model", ["f1"])) == [("a", 0.5, 0.5)]
+
+
 @pytest.mark.parametrize(("cell", "kind", "values"), [
     ("a, b,, c;", "name", ["a, b,, c"]), ("a; b, c", "name", ["a", "b, c"]), ('"a, b"; c', "name", ["a, b", "c"]), ('"a, b", c', "name", ["a, b", "c"]),
     ("['a', \"Int'l b\"]", "name", ["a", "Int'l b"]), ("[1, 2]", "id", ["1", "2"]), ("1/2", "id", ["1", "2"]), ("a / b|c\nd", "name", ["a", "b", "c", "d"]),

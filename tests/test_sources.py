@@ -54,12 +54,35 @@ def test_checks(spark):
 
     got = sorted(tuple(r) for r in remote.check_urls(urls, "u", probe, lambda u: ("X", "(1,2)")).collect())
     assert got == [("a", "200", "X", "(1,2)"), ("b", "404", "", ""), ("c", "no route", "", "")]
+    calls = []
+    assert remote.with_retry(lambda u: (calls.append(u), int("x" if len(calls) > 9 else 7))[1] if len(calls) > 1 else _down(calls, u), backoff=0.0)("u") == 7
+    assert remote.located_by(lambda u: ("", "(1,2)"), lambda u: ("X", "(3,4)"))("u") == ("X", "(1,2)")
     found = dict(remote.find_snapshots(urls, "u", lambda u: {"a": (200, "s"), "b": (200, None), "c": (503, None)}[u]).collect())
     assert found == {"a": "s", "b": "no_wayback", "c": "wayback is down"}
     lists = spark.createDataFrame([("a, b", "s, no_wayback")], "u string, w string")
     assert [r[0] for r in remote.missing_snapshots(lists, "u", "w").collect()] == ["b"]
 
 
+def _down(calls, url):
+    calls.append(url)
+    raise OSError("down")
+
+
+def test_flags_and_registry(spark, tmp_path):
+    answers = spark.createDataFrame([(json.dumps({"pmid": "1", "isOpenAccess": "Y", "hasTextMinedTerms": "N", "license": "cc by"}),), (json.dumps({"pmid": "2", "isOpenAccess": "N"}),)], "answer string")
+    flags = remote.article_flags(answers)
+    assert sorted(tuple(r) for r in flags.collect()) == [("1", True, False, None, "cc by"), ("2", False, None, None, None)]
+    held = spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "1"), ("c", "9")], "resource string, id string")
+    got = {r["resource"]: tuple(r)[1:] for r in remote.flags_of_resources(held, flags, "resource").collect()}
+    assert got == {"a": ("some", "none", None), "b": ("all", "none", None), "c": (None, None, None)}
+    pages = remote.registry_pages(spark, lambda: "t0k", lambda token, page: [{"token": token, "page": page}], 3)
+    assert sorted(json.loads(r["record"])["page"] for r in pages.collect()) == [1, 2, 3]
+    (tmp_path / "m.tsv").write_text("model\tpath\na\tx\nb\ty\n")
+    assert files.read_keyed_config(spark, str(tmp_path / "m.tsv"), "model")["b"]["path"] == "y"
+    files.write_one_row(spark.createDataFrame([(0.5, 0.25)], "precision double, recall double"), str(tmp_path / "one"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "one")).count() == 1
+
+
 def test_stream(spark, tmp_path):
     schema = "id string, best_name string, extracted_url string, publication_date string"
     for i, (k, d) in enumerate((("1", "2010-01-01"), ("2", "2012-01-01"))):

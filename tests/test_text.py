@@ -43,5 +43,11 @@ def test_dates_and_numbers(spark):
 
 
 def test_phrases(spark):
-    df = spark.createDataFrame([("Niger, Nigeria; Niger Niger",)], "v string")
-    assert df.select(text.count_phrase(text.words_padded(F.col("v")), F.lit("Niger"))).first()[0] == 3
+    df = spark.createDataFrame([("Niger, Nigeria; Niger Niger",), (None,), ("",)], "v string")
+    found = [r[0] for r in df.select(text.phrases(text.plain_words(F.col("v")), 2)).collect()]
+    assert found[0].count("Niger") == 3 and found[0].count("Niger Niger") == 1 and "Niger Nigeria" in found[0] and found[1:] == [[], []]
+
+
+def test_address_signs(spark):
+    df = spark.createDataFrame([("at (https://a.b:80/x_y?q=1&z=[2]#top) and http://c.d/~me, HTTP://no",)], "v string")
+    assert df.select(text.url_list(F.col("v"))).first()[0] == ["https://a.b:80/x_y?q=1&z=[2", "http://c.d/"]
