@@ -164,6 +164,7 @@ def split_packed(df: DataFrame, keys: list[str], cell: str, kind: str = "name")
         lambda v: v != "",
     )
     out = ruled.select(*names, values.alias("__values"))
-    # An outer explode, as the inner one would cut the values out once more to filter the cells before.
-    out = out.select(*names, F.size("__values").alias("n_values"), F.posexplode_outer("__values").alias("value_pos", "item_value")).where("value_pos is not null")
+    # Numbers come out of the explode with the values, so that a filter by them is no reason to cut all values out twice.
+    numbered = F.transform("__values", lambda v, i: F.struct(F.size("__values").alias("n_values"), i.cast("int").alias("value_pos"), v.alias("item_value")))
+    out = out.select(*names, F.inline_outer(numbered)).where("value_pos is not null")
     return out.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], "value_pos", "item_value", "n_values")
