@@ -7,20 +7,30 @@ from pyspark.sql import functions as F
 
 from biblioforge.llm.components import connected_components
 from biblioforge.llm.copies import bare, bare_values, copy_groups
+from biblioforge.operators.skew import join_unique
 from biblioforge.session import load
 
 
-def _pmids(column: str):
-    """The PMIDs of a list cell in whatever style; spreadsheet decimals (``.0``) are no part of a PMID."""
-    return F.explode(F.array_distinct(F.regexp_extract_all(F.col(column), F.lit("(\\d+)(?:\\.0+(?!\\d))?"), F.lit(1))))
+def _pmids(rows: DataFrame, cell: str) -> DataFrame:
+    """(record, pmid): the PMIDs of a list cell in whatever style; spreadsheet decimals (``.0``) are no part of a PMID."""
+    found = F.array_distinct(F.regexp_extract_all(F.col(cell), F.lit("(\\d+)(?:\\.0+(?!\\d))?"), F.lit(1)))
+    return rows.select("record", F.explode_outer(found).alias("pmid")).where("pmid is not null").distinct()
 
 
 def review_links(records: DataFrame) -> DataFrame:
-    """(a, b): the record whose duplicate column lists a PMID and the record that holds it."""
-    held = records.select(F.col("resource_num").alias("b"), _pmids("id").alias("pmid")).distinct()
-    listed = records.select(F.col("resource_num").alias("a"), F.concat_ws(" ", "duplicate_urls", "duplicate_names").alias("cell"))
-    listed = listed.where("cell <> ''").select("a", _pmids("cell").alias("pmid")).distinct()
-    return listed.join(held, "pmid").select("a", "b").where("a <> b")
+    """(a, b): links that put the record whose duplicate column lists a PMID and those that hold it into one group.
+
+    Each PMID stands for its first holder, to which the listing records and further holders
+    are linked, so that no PMID, however often it is listed or held, makes many pairs.
+    """
+    held = _pmids(records.select(F.col("resource_num").alias("record"), "id"), "id")
+    listed = records.select(F.col("resource_num").alias("record"), F.concat_ws(" ", "duplicate_urls", "duplicate_names").alias("cell"))
+    listed = _pmids(listed.where("cell <> ''"), "cell")
+    holders = held.groupBy("pmid").agg(F.min("record").alias("b"), F.max("record").alias("last"))
+    links = join_unique(listed, holders.drop("last"), ["pmid"])
+    further = holders.where("last > b").drop("last").join(listed.select("pmid").distinct(), "pmid", "leftsemi")
+    links = links.unionByName(join_unique(held, further, ["pmid"]))
+    return links.select(F.col("record").alias("a"), "b").where("a <> b")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,3 +54,13 @@ def test_exchanged_values(spark):
     df = spark.createDataFrame(rows, "k int, id string, n string, u string")
     got = {(r[0], r[1]) for r in copy_groups(df, "k", {"id": F.col("id")}, bare_values(F.col("n"), F.col("u"))).collect()}
     assert got == {(1, 1), (2, 1), (4, 4), (5, 4)}
+
+
+def test_review_links(spark):
+    from biblioforge.llm.queries_groups import review_links
+
+    rows = [(1, "10", "", None), (2, "10; 11.0", None, ""), (3, "['13']", "10", None), (4, "12", "12", ""), (5, "12", None, None), (6, "14", "14, 99", None), (7, None, None, "11"), (7, None, None, "11"), (8, "15", None, None), (9, "15", None, None)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "resource_num long, id string, duplicate_urls string, duplicate_names string, pmid string")
+    found = {tuple(r) for r in connected_components(review_links(df), "a", "b").collect()}
+    assert found == {(1, 1), (2, 1), (3, 1), (7, 1), (4, 4), (5, 4)}
+    assert review_links(df.limit(0)).count() == 0
