@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from biblioforge.llm.components import connected_components
 from biblioforge.llm.copies import bare, bare_values, copy_groups
 from biblioforge.operators.skew import join_unique
-from biblioforge.session import load
+from biblioforge.session import cut, load
 
 
 def _pmids(rows: DataFrame, cell: str) -> DataFrame:
@@ -24,12 +24,13 @@ def review_links(records: DataFrame) -> DataFrame:
     are linked, so that no PMID, however often it is listed or held, makes many pairs.
     """
     held = _pmids(records.select(F.col("resource_num").alias("record"), "id"), "id")
+    held = cut(held)
     listed = records.select(F.col("resource_num").alias("record"), F.concat_ws(" ", "duplicate_urls", "duplicate_names").alias("cell"))
-    listed = _pmids(listed.where("cell <> ''"), "cell")
+    listed = cut(_pmids(listed.where("cell <> ''"), "cell"))
     holders = held.groupBy("pmid").agg(F.min("record").alias("b"), F.max("record").alias("last"))
-    links = join_unique(listed, holders.drop("last"), ["pmid"])
+    links = join_unique(listed, holders.drop("last"), ["pmid"], most_rows=listed.count())
     further = holders.where("last > b").drop("last").join(listed.select("pmid").distinct(), "pmid", "leftsemi")
-    links = links.unionByName(join_unique(held, further, ["pmid"]))
+    links = links.unionByName(join_unique(held, further, ["pmid"], most_rows=held.count()))
     return links.select(F.col("record").alias("a"), "b").where("a <> b")
 
 
