@@ -18,9 +18,11 @@ often is treated alike each time; empty tables give no rows; extra columns are i
 from __future__ import annotations
 
 import html
+import math
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -119,9 +121,9 @@ def _unescaped(text: str) -> str:
     return re.sub(r"&(?:[A-Za-z]{2,8}|#\d{2,6}|#x[0-9A-Fa-f]{2,5});", lambda m: u if (u := html.unescape(m[0])) not in "<>&\"" and ord(u[0]) > 127 else m[0], text)
 
 
-def candidates(text: str, most: float) -> dict[str, float]:
-    """Every text that undoing a chain of wrong decodings of less than ``most`` bits gives, with the least bits of its chain."""
-    found, layer = {text: 0.0}, [text]
+def candidates(text: str, bits_of: Callable[[str], float]) -> dict[str, float]:
+    """Every text that undoing a chain of wrong decodings gives, with the least bits of its chain; chains that alone take as many bits as the text are none."""
+    found, layer, most = {text: 0.0}, [text], math.inf
     while layer:
         fresh = []
         for t in layer:
@@ -133,15 +135,12 @@ def candidates(text: str, most: float) -> dict[str, float]:
                 if new != t and found[t] + bits < found.get(new, most):
                     fresh += [new] if new not in found else []
                     found[new] = found[t] + bits
+        if fresh and most == math.inf:
+            most = bits_of(text)
         layer = fresh
     return found
 
 
-def _unchanged(text: str) -> bool:
-    """Whether no first step changes the text, so that nothing needs to be compressed."""
-    return _unescaped(text) == text and all(_as_utf8(text, c) == text for c in CODE_PAGES) and all(_swapped(text, c) == text for c in SWAPPED)
-
-
 class Model:
     """Dictionaries and usual characters of good text by language."""
 
@@ -198,12 +197,19 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
         for r in drawn.orderBy(F.xxhash64("text"), "text").toLocalIterator():
             samples.setdefault(r["lang"], []).append(r["text"].encode("utf-8", "ignore"))
     dictionaries = {name: _dictionary(texts) for name, texts in samples.items()}
-    # At most as many rows as there are characters, for each language.
-    every = docs.select(F.lower(F.substring(lang, 1, 2)).alias("lang"), F.regexp_replace(text, "[\\x00-\\x7f]", "").alias("odd")).where("lang is not null")
-    sizes = every.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"))
-    seen = every.where("odd <> ''").select("lang", F.explode(F.array_distinct(F.split("odd", ""))).alias("c")).groupBy("lang", "c").agg(F.count(F.lit(1)).alias("n"))
-    seen = seen.join(F.broadcast(sizes), "lang").where((F.col("n") >= USUAL_DOCS) & (F.col("n") >= USUAL_SHARE * F.col("docs")))
-    return Model(dictionaries, frozenset(r["c"] for r in seen.select("c").distinct().collect()))
+    every = docs.select(F.lower(F.substring(lang, 1, 2)).alias("lang"), F.col(text).alias("text")).where("lang is not null")
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: Counter[tuple[str, str]] = Counter()  # as many as there are characters, for each language
+        for batch in batches:
+            for name, value in zip(batch["lang"], batch["text"]):
+                seen.update([(name, ""), *((name, c) for c in set(value or "") if c > "\x7f")])
+        yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["lang", "c", "n"])
+
+    seen = every.mapInPandas(count, "lang string, c string, n long").groupBy("lang", "c").agg(F.sum("n").alias("n"))
+    rows = [tuple(r) for r in seen.where((F.col("n") >= USUAL_DOCS) | (F.col("c") == "")).collect()]
+    sizes = {name: n for name, c, n in rows if not c}
+    return Model(dictionaries, frozenset(c for name, c, n in rows if c and n >= max(USUAL_DOCS, USUAL_SHARE * sizes[name])))
 
 
 def _dictionary(texts: list[bytes]) -> bytes:
@@ -227,19 +233,14 @@ def repair(text: str | None, model: Model) -> tuple[bool, str | None]:
     """(affected, restored text)."""
     if not text or (text.isascii() and "&" not in text):
         return False, text
-    best, plain = text, None
-    if _unchanged(text):
-        found = {text: 0.0}
-    else:
-        plain = model.bits(text)
-        found = candidates(text, plain)
+    found, best = candidates(text, model.bits), text
     if len(found) > 1:
         best = min(found, key=lambda t: (found[t] + model.bits(t), found[t], t))
     if best != text:
         return True, best
     # Nothing can be restored; something was lost if the text is shorter to describe without its rest.
     without = _RESTS.sub("", text)
-    return without != text and model.bits(without) + LOST_BITS < (model.bits(text) if plain is None else plain), text
+    return without != text and model.bits(without) + LOST_BITS < model.bits(text), text
 
 
 def repair_fields(values: DataFrame, model: Model) -> DataFrame:
