@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ import pytest
 from biblioforge.llm import matching as m
 from biblioforge.llm import queries_matching as q
 from biblioforge.llm import resources
+from biblioforge.session import release
 
 COLUMNS = "source string, key string, names array<string>, address string"
 
@@ -118,3 +120,19 @@ def test_cosines_by_attribute():
     name, worst, cover, url, holders = m.cosines(a, c)
     assert worst < 0.5 and url < 0.6 and holders == 0
     assert all(math.isnan(x) for x in m.cosines(side(("",)), a)[:4])
+
+
+def test_each_step_leaves_no_shuffle_files(spark, made, monkeypatch):
+    """When the pairs are scored the disk holds nothing of the walks, the training and the blocks."""
+    manager = spark.sparkContext._jsc.sc().env().mapOutputTracker()
+    records, _ = made
+    held = []
+    compare = m.compare
+    monkeypatch.setattr(m, "compare", lambda *a: held.append(manager.shuffleStatuses().size()) or compare(*a))
+    release(spark)
+    time.sleep(1)
+    before = manager.shuffleStatuses().size()
+    pause = q.release
+    monkeypatch.setattr(q, "release", lambda s: (pause(s), time.sleep(1)))
+    q.matches(records)
+    assert held[0] <= before + 2
