@@ -9,9 +9,11 @@ out, an acronym in place of the words, a given name cut to its initial. A class
 itself seen in many spellings is evidence against its being an error.
 
 Candidates are found through the letters that are left when up to two are deleted from
-the proper word, never by comparing all classes.
+the proper word, never by comparing all classes. Names of lexicon words alone are linked by
+all their words, their acronym, or all words and an initial; names in which nothing can be
+read (digits, lone letters) by their whole folded text.
 
-Defined results: a NULL or blank name, or one without a proper word, is linked to nothing;
+Defined results: a NULL or blank name is linked to nothing;
 equal names under several ids are linked; ties go to the smaller id; very long names are
 read whole; an empty table gives no pairs; extra columns are ignored.
 """
@@ -36,6 +38,8 @@ EDIT, DROPPED, ACRONYM, INITIAL, LEAST = -2.5, -1.0, -0.5, -0.5, -8.0
 LONGEST = 40
 #: Up to so many spellings of a candidate each spelling of the other class counts in full against its being an error.
 FEW = 4
+#: What the place of a name begins with in which nothing can be read.
+UNREAD = "="
 #: Pairs of one group are made in blocks of about so many members.
 BLOCK = 500
 
@@ -47,8 +51,12 @@ def read_spellings(spellings: DataFrame, places: frozenset[str]) -> DataFrame:
         for batch in batches:
             rows = []
             for key, name, n in zip(batch["id"], batch["name"], batch["n"]):
-                r = names.read(name or "", places, one_proper=True)
-                if r.proper:
+                if not (name or "").strip():
+                    continue
+                r = names.read(name, places, one_proper=True)
+                if not (r.proper or r.bag or r.acronyms):
+                    rows.append((key, n, f"{UNREAD} {' '.join(names.fold(name).split())}", "", "", "", False))
+                else:
                     acronym = "".join(sorted(r.acronyms[0])) if r.acronyms and len(r.bag) < 2 else ""
                     rows.append((key, n, " ".join(r.proper), " ".join(r.bag), acronym, "".join(sorted(r.letters)), r.place_first))
             yield pd.DataFrame(rows, columns=["id", "n", "place", "bag", "acronym", "letters", "place_first"])
@@ -78,7 +86,7 @@ def near_places(places: DataFrame) -> DataFrame:
 
 
 def _most(place: str) -> int:
-    return 0 if not 4 <= len(place) <= LONGEST else 1 if len(place) < 7 else 2
+    return 0 if not 4 <= len(place) <= LONGEST or place.startswith(UNREAD) else 1 if len(place) < 7 else 2
 
 
 def likelihood(v: tuple, c: tuple, d: int) -> float | None:
@@ -99,7 +107,7 @@ def likelihood(v: tuple, c: tuple, d: int) -> float | None:
         return score if not v_letters or v_letters == c_letters else None
     if v_acronym:
         initials = "".join(sorted(w[0] for w in want))
-        whole = "".join(sorted(initials + c_place[0]))
+        whole = "".join(sorted(initials + c_place[:1]))
         return score + ACRONYM if v_acronym in (initials, whole) and len(want) > 1 else None
     given = [w for w in missing if w in names.GIVEN]
     if given and len(missing) == 1:
@@ -112,17 +120,23 @@ def likelihood(v: tuple, c: tuple, d: int) -> float | None:
 
 
 def _asked() -> Column:
-    """What a class is looked up by besides its proper word: its acronym, or the longest word of its bag (blank without any)."""
+    """What a class is looked up by besides its proper word: its acronym, or the longest word of its bag (blank without any); without a proper word all of its bag."""
     words = F.array_sort(F.transform(F.split("bag", " "), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
-    return F.when(F.col("acronym") != "", F.concat(F.lit("#"), "acronym")).otherwise(words[0]["w"])
+    return F.when(F.col("acronym") != "", F.concat(F.lit("#"), "acronym")).when(F.col("place") == "", F.col("bag")).otherwise(words[0]["w"])
 
 
 def _held() -> Column:
-    """What a class is found by as a candidate: each word of its bag, its initials with and without the proper word's, blank for up to one word."""
+    """What a class is found by as a candidate: each word of its bag, its initials with and without the proper word's, blank for up to one word.
+
+    Without a proper word: all words of its bag, all but each one, and its initials.
+    """
     words = F.filter(F.split("bag", " "), lambda w: w != "")
     letters = F.transform(words, lambda w: F.substring(w, 1, 1))
     initials = [F.concat(F.lit("#"), F.array_join(F.array_sort(x), "")) for x in (letters, F.concat(letters, F.array(F.substring("place", 1, 1))))]
-    return F.array_distinct(F.concat(words, F.array(*initials), F.when(F.size(words) <= 1, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))))
+    without = F.transform(words, lambda _, i: F.array_join(F.filter(words, lambda _, j: i != j), " "))
+    bags = F.filter(F.concat(F.array("bag"), without), lambda w: w != "")
+    placed = F.array_distinct(F.concat(words, F.array(*initials), F.when(F.size(words) <= 1, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))))
+    return F.when(F.col("place") == "", F.array_distinct(F.concat(bags, F.array(initials[0])))).otherwise(placed)
 
 
 def attach(classes: DataFrame, near: DataFrame) -> DataFrame:

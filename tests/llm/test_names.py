@@ -93,6 +93,15 @@ def test_variants(spark):
     assert pairs_of(members).count() == 1200 * 1199 // 2
 
 
+def test_variants_without_a_proper_word(spark):
+    rows = [(1, "National Science Foundation", 9), (2, "Natl. Sci. Found", 1), (3, "NATIONAL SCIENCE FOUNDATION", 1), (4, "NSF", 2), (5, "Medical Research Council", 3), (6, "Med Res Cncl", 1), (7, "Margareta Memorial Fund", 2), (8, "M. Memorial Fund", 1),
+            (9, "3 M", 1), (10, " 3  m", 1), (11, "4 M", 1), (12, None, 0), (13, " ", 0), (14, "National Science Agency", 1), (15, "M.", 1)]
+    groups = {}
+    for r in link_variants(spark.createDataFrame(rows, "id long, name string, n long")).collect():
+        groups.setdefault(r["canonical"], set()).add(r["id"])
+    assert set(map(frozenset, groups.values())) == {frozenset(x) for x in ({1, 2, 3, 4}, {5, 6}, {7, 8}, {9, 10}, {11}, {14}, {15})}
+
+
 def test_name_reading():
     r = names.read("Glebykretil Assn for Food Safty Rsrch (GAFSR)")
     assert r.proper == ("glebykretil",) and r.bag == ("association", "food", "research", "safety")
