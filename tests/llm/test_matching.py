@@ -81,6 +81,22 @@ def test_slips_and_full_names_meet(spark):
     assert {("1", "1"), ("2", "2"), ("3", "3"), ("5", "5")} <= met and ("1", "5") not in met
 
 
+def test_near_tokens_meet(spark):
+    """Of the pairs with similar tokens (no slips) nearly all meet, whatever part of the work the hyperplanes have."""
+    rng = random.Random(6)
+    part = lambda: rng.choice("b d f g k l m n p r s t v z".split()) + rng.choice("aeiouy")
+    rows = []
+    for i in range(150):
+        coined = "".join(part() for _ in range(8)).title()
+        rows += [("inventory", str(i), [coined], None), ("re3data", str(i), [coined + rng.choice(["Db", "Kb", "Hub"])], None)]
+    records = q.read_records(spark.createDataFrame(rows, COLUMNS))
+    shown = m.unpacked(records)
+    stats, table = q.token_stats(shown), m.start_table()
+    near = {k for k, (a, b) in enumerate(zip(rows[::2], rows[1::2])) if m.vector(a[2][0].lower(), table) @ m.vector(b[2][0].lower(), table) >= m.NEAR}
+    met = {int(a) for a, b in _keys(records, m.candidate_pairs(shown, table, stats)) if a == b}
+    assert len(near) > 20 and len(near & met) >= 0.9 * len(near)
+
+
 def test_large_blocks_stay_whole(spark):
     n = 3 * m.PIECE + 7
     side = lambda lo, count: spark.range(lo, lo + count).selectExpr("id as rid", "0 as kind", "cast(5 as long) as code")
