@@ -35,10 +35,8 @@ SWAPPED = ("mac_roman", "cp437", "cp850")
 STEP_BITS, SWAP_BITS = 6.0, 12.0
 #: Bits of a note that something was lost for good.
 LOST_BITS = 18.0
-#: Documents of each language that the dictionaries are trained on at most (drawn by hash), their bytes, and the size of a dictionary.
-SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 600, 600_000, 16_384
-#: Longer documents are no part of the sample of the dictionaries, which so is of bounded size.
-SAMPLE_CHARS = 8_000
+#: The size of a dictionary, and the share of all words of a language from which a word can stand in it (at most 1 / share words).
+DICTIONARY_BYTES, WORD_SHARE = 16_384, 2e-5
 #: Share of the documents of a language (and least number) that a usual character stands in; counted over all documents.
 USUAL_SHARE, USUAL_DOCS = 0.003, 3
 #: Bits of a character by how usual it is in good text: seen, a letter of a Latin alphabet, Greek, anything else.
@@ -184,20 +182,19 @@ class Model:
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
-    """The model of good text: dictionaries from a bounded, seeded sample of ``docs`` for each language, usual characters from all of them."""
-    known = docs.select(F.lower(F.substring(lang, 1, 2)).alias("lang"), F.col(text).alias("text")).where(F.col("lang").isNotNull() & F.length("text").between(41, SAMPLE_CHARS))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(counts) > 64:
-        raise ValueError("more languages than a dictionary each makes sense for")
-    samples: dict[str, list[bytes]] = {}
-    if counts:
-        share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, SAMPLE_DOCS / n))])
-        draw = F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-        drawn = known.where(draw < share[F.col("lang")]).select("lang", "text")
-        for r in drawn.orderBy(F.xxhash64("text"), "text").toLocalIterator():
-            samples.setdefault(r["lang"], []).append(r["text"].encode("utf-8", "ignore"))
-    dictionaries = {name: _dictionary(texts) for name, texts in samples.items()}
+    """The model of good text: dictionaries and usual characters of each language, both counted over all of ``docs``."""
     every = docs.select(F.lower(F.substring(lang, 1, 2)).alias("lang"), F.col(text).alias("text")).where("lang is not null")
+    # Words with the blanks after them.
+    words = every.select("lang", F.explode(F.split("text", "(?<=\\s)(?=\\S)")).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    totals = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    if len(totals) > 64:
+        raise ValueError("more languages than a dictionary each makes sense for")
+    counted: dict[str, list[tuple[str, int]]] = {}
+    if totals:
+        least = F.create_map(*[F.lit(x) for k, n in totals.items() for x in (k, max(2.0, WORD_SHARE * n))])
+        for r in words.where((F.col("n") >= least[F.col("lang")]) & F.length("word").between(3, DICTIONARY_BYTES)).collect():
+            counted.setdefault(r["lang"], []).append((r["word"], r["n"]))
+    dictionaries = {name: _dictionary(found) for name, found in sorted(counted.items())}
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter[tuple[str, str]] = Counter()  # as many as there are characters, for each language
@@ -212,21 +209,15 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     return Model(dictionaries, frozenset(c for name, c, n in rows if c and n >= max(USUAL_DOCS, USUAL_SHARE * sizes[name])))
 
 
-def _dictionary(texts: list[bytes]) -> bytes:
-    import zstandard as z
-
-    total, taken = 0, []
-    for t in texts:
-        if total > SAMPLE_BYTES:
-            break
-        taken.append(t)
-        total += len(t)
-    if len(taken) >= 20 and total > 20 * DICTIONARY_BYTES // 4:
-        try:
-            return z.train_dictionary(min(DICTIONARY_BYTES, total // 4), taken).as_bytes()
-        except z.ZstdError:
-            pass
-    return b"".join(taken)[-DICTIONARY_BYTES:]  # too little to train on: the texts themselves
+def _dictionary(counted: list[tuple[str, int]]) -> bytes:
+    """The words that save the most bytes, as many as a dictionary holds; the best stand last, where they are the cheapest to refer to."""
+    size, taken = 0, []
+    for word, _ in sorted(counted, key=lambda x: (-x[1] * (len(x[0]) - 2), x[0])):
+        raw = word.encode("utf-8", "ignore")
+        if size + len(raw) <= DICTIONARY_BYTES:
+            taken.append(raw)
+            size += len(raw)
+    return b"".join(reversed(taken))
 
 
 def repair(text: str | None, model: Model) -> tuple[bool, str | None]:

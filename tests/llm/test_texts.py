@@ -44,6 +44,15 @@ def test_repair_fields(spark, model):
     assert encoding.train(spark.createDataFrame([], "text string, lang string")).dictionaries == {}
 
 
+def test_dictionaries_come_from_all_documents(spark):
+    """A long document and words spread over many documents count as much as others; order and repeats of rows do not matter."""
+    rows = [(f"{'x' * 45} common word{i % 7} {'seldom' if i % 100 == 0 else 'often'} end", "en") for i in range(900)] + [("überall und immer " * 1000, "de"), (None, "de"), ("ohne Sprache", None)]
+    model = encoding.train(spark.createDataFrame(rows, "text string, lang string"))
+    assert set(model.dictionaries) == {"en", "de"} and "überall ".encode() in model.dictionaries["de"]
+    assert all(w in model.dictionaries["en"] for w in (b"seldom ", b"often ", b"common ", b"word6 "))
+    assert encoding.train(spark.createDataFrame(rows[::-1], "text string, lang string")).dictionaries == model.dictionaries
+
+
 needs_tokenizers = pytest.mark.skipif(not os.path.exists(f"{tokens.TOKENIZER_DIR}/{tokens.BYTE_BPE}"), reason="no vocabulary files")
 
 
