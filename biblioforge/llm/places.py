@@ -30,6 +30,8 @@ LOOKALIKES = (
     "Uzbekistan Vanuatu Venezuela Yemen Zambia Zimbabwe Liechtenstein Andorra Antarctica"
 ).split()
 UNLISTED = "-"
+_BLOCK, _SEGMENT, _BRACKETS = re.compile(r":\s"), re.compile(r"[,;]|\s[–-]\s"), re.compile(r"\s*\([^)]*\)")
+_ACRONYM, _SHORT = re.compile(r"[A-Z][A-Z0-9]{1,5}"), re.compile(r"(?:TU)\s+(\S.*)")
 
 
 def _plain(text: str) -> str:
@@ -101,28 +103,28 @@ def institution_reader(codes: frozenset[str]) -> Reader:
     """A reader of affiliations; ``codes``: country codes, which are no acronyms where a country stands."""
 
     def read(value: str) -> list[tuple[str, int]]:
-        text = re.sub(r"\s*\([^)]*\)", "", value) if "(" in value and re.search(r"\w.*\(", value) else value
-        blocks = re.split(r":\s", text)
+        text = _BRACKETS.sub("", value) if "(" in value and re.search(r"\w.*\(", value) else value
+        blocks = _BLOCK.split(text)
         named: list[tuple[str, int]] = []
         joined: list[tuple[str, int]] = []
         acronyms: list[tuple[str, int]] = []
         for block in blocks:
-            segments = [s.strip() for s in re.split(r"[,;]|\s[–-]\s", block)]
+            segments = [s.strip() for s in _SEGMENT.split(block)]
             segments = [s for s in segments if s]
-            for kind, place in zip(segments, segments[1:]):  # "Institute of Ecology, Place"
-                r, q = names.read(kind), names.read(place)
+            named_as = [names.read(s) for s in segments]
+            for place, r, q in zip(segments[1:], named_as, named_as[1:]):  # "Institute of Ecology, Place"
                 if r.bag and not r.proper and len(q.proper) == 1 and not q.bag and not re.search(r"\d", place):
                     joined.append((_form(r.bag, q.proper), _institution_edits(q.proper)))
             for i, segment in enumerate(segments):
                 plain = segment.rstrip(".").strip()
-                if re.fullmatch(r"[A-Z][A-Z0-9]{1,5}", plain):
+                if _ACRONYM.fullmatch(plain):
                     last = i == len(segments) - 1 and (len(segments) > 1 or len(blocks) > 1)
                     if not last and not (plain in codes and i > 1):
                         acronyms.append(("=" + plain, 0))
                     continue
-                short = re.fullmatch(r"(?:TU)\s+(\S.*)", plain)
+                short = _SHORT.fullmatch(plain)
                 typed = ("Technical University " + short.group(1)) if short else segment
-                r = names.read(typed)
+                r = names.read(typed) if short else named_as[i]
                 if r.bag and r.proper:
                     # With several unknown words a segment is no mistyped name of one place, unless all but one are mistyped lexicon words.
                     named.append((_form(r.bag, r.proper), _institution_edits(r.proper) if len(r.proper) == 1 else 0))

@@ -2,7 +2,10 @@
 
 import random
 
-from biblioforge.llm import names, places, resources
+from hypothesis import given
+from hypothesis import strategies as st
+
+from biblioforge.llm import canonical, names, places, resources
 from biblioforge.llm.canonical import Tree, levenshtein, map_values, search
 from biblioforge.llm.variants import link_variants, pairs_of
 
@@ -65,6 +68,41 @@ def test_shards_against_brute_force(spark):
         assert {r["value"]: r["code"] for r in map_values(df, "v", listed, reader, shard).collect()} == expected
 
 
+def test_many_values_go_down_a_tree_together(monkeypatch):
+    """What each finds alone, swaps, ties, long forms and other alphabets included, with few of the distances computed one by one."""
+    rng = random.Random(3)
+    word = lambda most, letters="abcdé漢": "".join(rng.choice(letters) for _ in range(rng.randrange(most)))
+    forms = [word(12) for _ in range(200)] + [word(3) + "x" * rng.randrange(58, 70) + word(3) for _ in range(60)] + ["=ab", "=" + "x" * 80]
+    tree = Tree((f, str(rng.randrange(90))) for f in forms)
+    asked = [(word(14, "abcdé漢z"), rng.randrange(4)) for _ in range(400)] + [(word(3) + "x" * rng.randrange(57, 72) + word(3), rng.randrange(4)) for _ in range(60)] + [("", 2), ("", 0), ("=ab", 0), ("y" * 10_000, 3)]
+    inexact = {f for f in forms if f[:1] != "="}
+    expected = [[(0, q)] if not most and q in forms else sorted((d, f) for f in inexact if most and abs(len(f) - len(q)) <= most and (d := levenshtein(q, f)) <= most) for q, most in asked]
+    assert [sorted(x) for x in tree.within_all(asked)] == expected
+    reader = lambda v: [(v, 0), (v[1:], 1), (v, 2), ("=" + v, 0), (v[:-1], 3)]
+    values = [q for q, _ in asked] * 10
+    alone = {v: search(tree, v, reader) for v in set(values)}
+    monkeypatch.setattr(canonical, "KNOWN", 20)
+    assert canonical.search_all(tree, values, reader) == [alone[v] for v in values]
+    calls = []
+    single = names.Pattern.distance
+    monkeypatch.setattr(names.Pattern, "distance", lambda *x: calls.append(1) or single(*x))
+    short = Tree((f, f) for f in sorted(inexact) if len(f) < 12)
+    calls.clear()
+    canonical.search_all(short, [f"{i:05}"[::-1].translate(str.maketrans("0123456789", "abcdéabcdé")) for i in range(2000)], lambda v: [(v, 1)])
+    assert len(calls) < 2000
+
+
+@given(st.text("abc", max_size=9), st.text("abc", max_size=9), st.integers(0, 5))
+def test_edits(a, b, most):
+    rows = [list(range(len(b) + 1))]
+    for i, x in enumerate(a, 1):
+        rows.append([i])
+        for j, y in enumerate(b, 1):
+            swap = [rows[i - 2][j - 2] + 1] if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y else []
+            rows[i].append(min(rows[i - 1][j] + 1, rows[i][j - 1] + 1, rows[i - 1][j - 1] + (x != y), *swap))
+    assert names.edits(a, b, most) == min(rows[-1][-1], most + 1)
+
+
 def test_countries():
     tree = Tree(places.country_forms([("DEU", "DE", "Germany"), ("NER", "NE", "Niger"), ("NGA", "NG", "Nigeria"), ("IRL", "IE", "Ireland"), ("TWN", "TW", "Taiwan, Province of China"), ("CHN", "CN", "China")]))
     code = lambda v: (search(tree, v, places.read_country) or (0, 0, None))[2]

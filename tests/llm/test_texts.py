@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from biblioforge.llm import encoding, mixing, tokens, truncation
 
@@ -53,6 +54,36 @@ def test_dictionaries_come_from_all_documents(spark):
     assert encoding.train(spark.createDataFrame(rows[::-1], "text string, lang string")).dictionaries == model.dictionaries
 
 
+def test_documents_are_split_once(spark):
+    """The words and their number in each language come from one pass, the characters from another."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        read.add(1)
+        return text
+
+    docs = spark.createDataFrame([(f"word{i % 9} and ünd more", "en" if i % 3 else "de") for i in range(60)], "text string, lang string")
+    model = encoding.train(docs.select(seen("text").alias("text"), "lang"))
+    assert set(model.dictionaries) == {"en", "de"} and model.usual == {"ü"} and read.value == 120
+    langs = [chr(97 + i % 26) + chr(97 + i // 26) for i in range(encoding.LANGUAGES + 1)]
+    with pytest.raises(ValueError):
+        encoding.train(spark.createDataFrame([("some some some", x) for x in langs], "text string, lang string"))
+
+
+def test_only_steps_that_can_change_a_text_are_tried(model, monkeypatch):
+    """Steps left out change nothing, and usual accented letters need none."""
+    texts = [*GOOD, "Ã„rzte &uuml;", "isnâ\x80t", "fa�ade", "UniversitŠt KÃ¶ln", "╝√├ñ", "Россия", "Â-ring ÂÃ â€™", "", "a\x85b", "Šx€y"]
+    for t in texts + [t.encode("utf-8").decode(c, "ignore") for t in GOOD for c in encoding.CODE_PAGES]:
+        mistaken, swapped = encoding._steps(encoding._held(t))
+        assert all(encoding._as_utf8(t, c) == t for c in encoding.CODE_PAGES if c not in dict(mistaken))
+        assert all(encoding._swapped(t, c) == t for c in encoding.SWAPPED if c not in swapped)
+        assert not encoding._LEFT.isdisjoint(t) or not encoding._RESTS.search(t)
+    tried = []
+    monkeypatch.setattr(encoding, "_as_utf8", lambda t, c: tried.append(c) or t)
+    assert encoding.repair("Universität Köln", model) == (False, "Universität Köln") and not tried
+
+
 needs_tokenizers = pytest.mark.skipif(not os.path.exists(f"{tokens.TOKENIZER_DIR}/{tokens.BYTE_BPE}"), reason="no vocabulary files")
 
 
